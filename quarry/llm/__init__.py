@@ -1,10 +1,30 @@
 """Operators of a training-data pipeline, and their queries."""
 
 from quarry.llm.bpe import op3_byte_bpe
+from quarry.llm.fingerprints import op2_closed_syncmers
 from quarry.llm.lm import op1_stupid_backoff
 from quarry.llm.neardup import op5_minhash_components
 from quarry.llm.packing import op10_cost_packing
+from quarry.llm.pii import op4_disclosure_pii
+from quarry.llm.quality import op8_quality_sketches
+from quarry.llm.secrets import op6_credential_links
+from quarry.llm.toxicity import op7_toxicity_lexicon
 from quarry.llm.wavelet import op9_wavelet_shards
 
-QUERIES = {f.__name__: f for f in (op1_stupid_backoff, op3_byte_bpe, op5_minhash_components, op9_wavelet_shards, op10_cost_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_stupid_backoff,
+        op2_closed_syncmers,
+        op3_byte_bpe,
+        op4_disclosure_pii,
+        op5_minhash_components,
+        op6_credential_links,
+        op7_toxicity_lexicon,
+        op8_quality_sketches,
+        op9_wavelet_shards,
+        op10_cost_packing,
+    )
+}
+#: None of these has a form in SQL that is quick on whole tables; tests hold each against brute force.
 ORACLES: dict[str, str] = {}

@@ -210,5 +210,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each class, the one of least doc_id, and every document that links with nothing; all columns.
+
+    Rows that repeat a kept doc_id stay once. Texts move only if the doc_ids to
+    drop are too many to go to all executors.
+    """
+    found = keep(near_duplicates(docs, width, percent).withColumnRenamed("doc_id", "d"), "classes-of")
+    gone = found.filter("not kept").select(F.col("d").alias("doc_id")).distinct()
+    twice = found.filter("kept and d is not null").groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("d").alias("doc_id"))
+    out = bounded_join(docs, gone, "doc_id", "left_anti")
+    if twice.limit(1).count():
+        again = bounded_join(out, twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = bounded_join(out, twice, "doc_id", "left_anti").unionByName(again)
+    return out.select(*docs.columns)
+
+
 def op5_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=2)
