@@ -31,7 +31,7 @@ from quarry.llm.storage import documents, keep, only, parts_for
 U64 = np.uint64
 BACKOFF = 0.4
 #: Text bytes of a block of documents.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Input bytes for each part of the count tables.
 PART_BYTES = 4 << 20
 
