@@ -8,7 +8,10 @@
 3. In every bucket all classes are paired with two centres only (a star), the
    least and the largest; each pair is confirmed on the full sets.
 4. What no star has joined is compared across components within its buckets, so
-   a link that neither centre sees is still found.
+   a link that neither centre sees is still found: as pairs in buckets of at
+   most PAIR_BUCKET classes, else block by block, each task holding two blocks of
+   at most BLOCK classes and about BLOCK_BYTES of sets, comparing sketches first
+   and returning links only.
 
 At a Jaccard of exactly 0.8 a pair shares a band with probability above
 1 - 3e-6 (42 bands of 6); all links are confirmed exactly.
@@ -36,6 +39,10 @@ U64 = np.uint64
 BINS, ROWS = 252, 6
 #: Ids sent to all executors at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Largest bucket whose classes across components become rows of pairs, and classes in a block of a larger one.
+PAIR_BUCKET, BLOCK, BLOCK_BYTES = 32, 4096, 16 << 20
+#: How far under the threshold a sketch's estimate may lie before a pair is passed over: five standard deviations.
+SLACK = 0.126
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -161,6 +168,38 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def compare_blocks(percent: int):
+    """Function of a group (band, lo, hi): its links (a, b) across components between blocks lo and hi, or within lo."""
+
+    def run(t: pa.Table) -> pa.Table:
+        nodes, comps = (t.column(n).to_numpy() for n in ("node", "comp"))
+        keys = np.stack(t.column("bands").to_numpy(zero_copy_only=False))
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in t.column("items")]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        sketch = (np.concatenate([sketches(sets[k : k + 500]) for k in range(0, len(sets), 500)]) >> U64(16)).astype(np.uint32)
+        band, lo, hi = (t.column(n)[0].as_py() for n in ("band", "lo", "hi"))
+        at = int(np.flatnonzero(keys[0] == band)[0])
+        chunk = t.column("chunk").to_numpy()
+        left, right = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+        comps, out = comps.copy(), ([], [])
+        for i in left:
+            js = right[right > i] if lo == hi else right
+            js = js[(comps[js] != comps[i]) & (100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i]))]
+            js = js[~(keys[js, :at] == keys[i, :at]).any(1)]  # pairs that share an earlier band meet there
+            js = js[(sketch[js] == sketch[i]).mean(1) >= percent / 100 - SLACK]
+            for j in js:
+                if comps[j] == comps[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    out[0].append(min(nodes[i], nodes[j]))
+                    out[1].append(max(nodes[i], nodes[j]))
+                    comps[comps == comps[j]] = comps[i]
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the least node reachable, for every node of the links (a, b).
 
@@ -182,9 +221,9 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of documents (doc_id, text)."""
     sigs = keep(signatures(docs, width), "signatures")
-    firsts = sigs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    firsts = sigs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("items_n"))
     classes = keep(firsts.withColumn("node", F.monotonically_increasing_id()), "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
+    banded = classes.select("node", "items_n", F.explode("bands").alias("band"))
     stars = keep(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1").select("band", "low", "high"), "stars")
     members = keep(banded.join(stars, "band"), "members")
     centre: Column = F.explode(F.array("low", "high"))
@@ -194,12 +233,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = keep(confirm(pairs, sets, percent), "links")
     comps = components(links)
     # buckets that hold several components still
-    placed = members.select("node", "band").join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
-    open_ = placed.join(mixed, "band")
-    left, right = (open_.select("band", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "ab")
+    placed = members.select("node", "items_n", "band").join(comps, "node", "left").select("band", "node", "items_n", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum("items_n").alias("all_items")).filter("x <> y").select("band", "n", "all_items")
+    open_ = keep(placed.join(mixed, "band"), "open")
+    few = open_.filter(F.col("n") <= PAIR_BUCKET)
+    left, right = (few.select("band", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "ab")
     across = left.join(right, "band").filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
-    late = keep(confirm(across.join(pairs, ["a", "b"], "left_anti"), sets, percent), "late")
+    late = confirm(across.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, 8 * F.col("all_items") / BLOCK_BYTES)).cast("int")
+    many = open_.filter(F.col("n") > PAIR_BUCKET).withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    many = many.select("band", "node", "comp", "chunk", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    many = many.select("band", "node", "comp", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    many = many.join(classes.select("node", "bands"), "node").join(sets, "node")
+    late = keep(late.unionByName(many.groupBy("band", "lo", "hi").applyInArrow(compare_blocks(percent), "a long, b long")).distinct(), "late")
     if late.limit(1).count():
         comps = components(links.union(late))
     named = classes.join(comps, "node", "left").select("key", "rep", F.coalesce("comp", "node").alias("comp"))

@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from quarry.llm import neardup
 from quarry.llm.lm import scores
 from quarry.llm.neardup import near_duplicates
 
@@ -82,8 +83,10 @@ def brute(rows, width, percent):
     return sorted(out)
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(spark, width):
+@pytest.mark.parametrize("width,pairs,block", [(2, 32, 512), (5, 32, 512), (2, 2, 5)])
+def test_near_duplicates(spark, monkeypatch, width, pairs, block):
+    monkeypatch.setattr(neardup, "PAIR_BUCKET", pairs)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rnd = random.Random(width)
     vocab = [f"w{i}" for i in range(300)]
     rows = []
