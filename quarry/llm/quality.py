@@ -136,11 +136,16 @@ def judge(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", low).withColumn("kept", ~low & ~high)
 
 
+def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows with their group's thresholds, which go to all executors if they are counted to be few."""
+    few = limits.limit(100_001).count() <= 100_000
+    return rows.join(F.broadcast(limits) if few else limits, ["g_lang", "g_source"], "left")
+
+
 def verdicts(docs: DataFrame, *names: str) -> DataFrame:
     """Counts, base_failed and kept for every row, with the named columns of the documents."""
     rows = keep(counted(docs, *dict.fromkeys((*names, "lang", "source"))).withColumns(metrics()).withColumns({"g_lang": mark("lang"), "g_source": mark("source")}), "quality")
-    limits = thresholds(sketch(rows, ["g_lang", "g_source"]))
-    return judge(rows.join(limits, ["g_lang", "g_source"], "left"))
+    return judge(with_limits(rows, keep(thresholds(sketch(rows, ["g_lang", "g_source"])), "thresholds")))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
@@ -153,9 +158,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
     marks = {"g_lang": mark("lang"), "g_source": mark("source")}
     limits = keep(thresholds(sketch(counted(docs, "lang", "source").withColumns(metrics()).withColumns(marks), ["g_lang", "g_source"])), "thresholds")
-    few = limits.limit(100_001).count() <= 100_000
     rows = counted(docs, *names, whole=True).withColumns(metrics()).withColumns(marks)
-    judged = judge(rows.join(F.broadcast(limits) if few else limits, ["g_lang", "g_source"], "left"))
+    judged = judge(with_limits(rows, limits))
     return judged.filter("kept").select(*(F.col(f"`__{n}`").alias(n) for n in names))
 
 
