@@ -174,7 +174,7 @@ def hunk_chunk_overlap(t) -> DataFrame:
 @query(f"WITH a AS (SELECT user_id, count(*) AS n, max(ts) AS seen FROM events GROUP BY 1) SELECT user_id, round(0.2 * exp(-(epoch(TIMESTAMP '{NOW}') - epoch(seen)) / 3600.0 / (720.0 * 6.931471805599453e-1)) + 0.1 * least(1.0, log10(n + 1) / 3), 6) AS score FROM a")
 def memory_recall(t) -> DataFrame:
     a = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("seen"))
-    age = (F.lit(NOW).cast("timestamp").cast("double") - F.col("seen").cast("double")) / 3600.0
+    age = (F.lit(NOW).cast("timestamp").cast("double") - F.col("seen").cast("timestamp").cast("double")) / 3600.0
     return a.select("user_id", r6(0.2 * retrieval.recency(age) + 0.1 * F.least(F.lit(1.0), F.log10(F.col("n") + 1) / 3)).alias("score"))
 
 
