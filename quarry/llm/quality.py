@@ -67,14 +67,15 @@ def counted(docs: DataFrame, *names: str, whole: bool = False) -> DataFrame:
     own = [F.col(f"`{n}`").alias(f"__{n}") for n in names] if whole else []
     names = ("lang", "source") if whole else names
     source = docs if whole else only(docs, *names, "text")
-    return source.select(
-        *names,
-        *own,
+    counts = F.struct(
         wide.alias("w"),
         F.when(text.rlike(r"[#*$%&|<>]"), F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).otherwise(0).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"),
         F.when(text.rlike("[A-Z]{2}"), F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).otherwise(0).cast("long").alias("capitals"),
-    ).select(*names, *(f"`__{n}`" for n in (docs.columns if whole else [])), "w.*", "n_symbols", F.col("l.dup").cast("long").alias("n_dup_lines"), F.col("l.n").alias("n_lines"), "capitals")
+    )
+    # no filter on the counts moves below the explode, which would work them out once for each use
+    rows = source.select(*names, *own, F.explode(F.array(counts)).alias("__c"))
+    return rows.select(*names, *(f"`__{n}`" for n in (docs.columns if whole else [])), "__c.w.*", "__c.n_symbols", F.col("__c.l.dup").cast("long").alias("n_dup_lines"), F.col("__c.l.n").alias("n_lines"), "__c.capitals")
 
 
 def metrics() -> dict[str, Column]:
