@@ -29,6 +29,8 @@ from quarry.llm.storage import documents, only
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Ids packed together: the open sequences of a pool are this many / the sequence's length.
 POOL_TOKENS = 1 << 20
+#: Bytes of text encoded at once; working memory is some fifty times as much.
+TEXT_CHUNK = 1 << 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -148,13 +150,14 @@ def packed(docs: DataFrame, path: str, most: int = 2048, end_id: int = 1, pool_t
             return out
 
         for b in batches:
-            ids, first = enc.encode(b.column(1))
-            for k, doc_id in enumerate(b.column(0).to_pylist()):
-                x = np.append(ids[first[k] : first[k + 1]], np.uint32(end_id))
-                held.append((doc_id, x, 0, len(x)))
-                total += len(x)
-                if total >= pool_tokens:
-                    yield flush()
+            doc_ids = iter(b.column(0).to_pylist())
+            for ids, sizes in enc.encode_parts(b.column(1), TEXT_CHUNK):
+                for x in np.split(ids, np.cumsum(sizes)[:-1]):
+                    x = np.append(x, np.uint32(end_id))
+                    held.append((next(doc_ids), x, 0, len(x)))
+                    total += len(x)
+                    if total >= pool_tokens:
+                        yield flush()
         if total >= most:
             yield flush()
         if held:

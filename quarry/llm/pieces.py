@@ -8,7 +8,7 @@ whole by the library.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,13 @@ class PieceEncoder:
         self.used += len(more)
         return np.arange(self.n - len(lists), self.n)
 
+    def encode_parts(self, column: pa.Array | pa.ChunkedArray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, ids of each text) for runs of texts of about `chunk` bytes, so that neither working memory nor ids grow with the batch."""
+        data, offsets = string_buffers(column)
+        for a, b in text_chunks(offsets, chunk):
+            lo, hi = int(offsets[a]), int(offsets[b])
+            yield self._chunk(data[lo:hi], offsets[a : b + 1] - lo)
+
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a column in order, and the first id of each text (texts + 1)."""
         data, offsets = string_buffers(column)
