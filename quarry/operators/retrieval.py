@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
@@ -64,6 +64,12 @@ def rerank_blend(rows: DataFrame, scores: DataFrame | None) -> DataFrame:
     return rows.join(scores, "id", "left").select("id", F.when(F.col("rerank").isNull(), F.col("fused")).otherwise(0.3 * F.col("fused") + 0.7 * F.col("rerank")).alias("fused"))
 
 
+def rank_scores(rows: DataFrame) -> DataFrame:
+    """(id, rerank) of a candidate list (id, fused), a top-k of bounded length: (n - rank + 1) / n, ties by id."""
+    n = F.count("*").over(W.partitionBy())
+    return rows.select("id", ((n - F.row_number().over(W.orderBy(F.desc("fused"), "id")) + 1) / n).alias("rerank"))
+
+
 def fuzzy_score(name: Column, query: str) -> Column:
     """Exact 1, prefix 0.9, contained 0.7, else the share of the query's parts that start a part of the name times 0.8."""
     n, q = F.lower(name), query.lower()
@@ -94,3 +100,11 @@ def line_matches(docs: DataFrame, pattern: str, literal: bool = False, ignore_ca
     else:
         hit = F.col("content").rlike(f"(?i){pattern}" if ignore_case else pattern)
     return rows.filter(hit).select("id", (F.col("at") + 1).cast("long").alias("line"), "content")
+
+
+def line_context(docs: DataFrame, pattern: str, around: int) -> DataFrame:
+    """Lines that match (id, line), each with the lines around it, as far as the text has them (context)."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("ls")).select("id", "ls", F.posexplode("ls").alias("at", "content"))
+    first = F.greatest(F.lit(1), F.col("at") + 1 - around)
+    context = F.array_join(F.slice("ls", first, F.col("at") + 2 + around - first), "\n")
+    return rows.filter(F.col("content").rlike(f"(?i){pattern}")).select("id", (F.col("at") + 1).cast("long").alias("line"), context.alias("context"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.code import decision_points, matches_glob, rating
-from quarry.operators import graph, merge, retrieval
+from quarry.operators import code, graph, merge, retrieval
 from quarry.streaming.debounce import debounced
 
 QUERIES, ORACLES = {}, {}
@@ -258,3 +258,67 @@ def debounce_sessions(t) -> DataFrame:
 @query("SELECT url, page_id FROM pages WHERE regexp_matches(url, '^(?:.*/)?[^/]*1[^/]*$')")
 def glob_paths(t) -> DataFrame:
     return t("pages").filter(matches_glob(F.col("url"), "**/*1*")).select("url", "page_id")
+
+
+_TOPK = "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id LIMIT 20"
+
+
+def _nearest(t) -> DataFrame:
+    e = t("embeddings")
+    return retrieval.vector_topk(e, e.filter("vec_id = 0").first()["embedding"], 20).select(F.col("vec_id").alias("id"), r6("score").alias("score"))
+
+
+@query(f"WITH v AS ({_TOPK}), b AS ({_bm25_sql(['reed', 'onre'], 'or')}), f AS (SELECT id, 0.7 * coalesce(score, 0) + 0.3 * coalesce(bm25 / (1 + bm25), 0) AS fused FROM v FULL JOIN b USING (id)) SELECT id, round(fused, 6) AS fused FROM f ORDER BY f.fused DESC, id LIMIT 10")
+def hybrid_search(t) -> DataFrame:
+    text = retrieval.bm25(t("documents"), ["reed", "onre"], 20, "or").withColumn("bm25", r6("bm25"))
+    return retrieval.fuse(_nearest(t), text, 10).withColumn("fused", r6("fused"))
+
+
+@query(f"WITH v AS ({_TOPK}), r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank, count(*) OVER () AS n FROM v) SELECT id, round(0.3 * score + 0.7 * (n - rank + 1) / n, 6) AS fused FROM r")
+def rerank_by_rank(t) -> DataFrame:
+    near = _nearest(t).withColumnRenamed("score", "fused")
+    return retrieval.rerank_blend(near, retrieval.rank_scores(near)).withColumn("fused", r6("fused"))
+
+
+_PARTS = r"list_filter(regexp_split_to_array(lower(regexp_replace(p_name, '(\p{Lu})', '_\1', 'g')), '[_\-. ]+'), lambda x: x <> '')"
+
+
+@query(f"WITH a AS (SELECT p_partkey, lower(p_name) AS n, {_PARTS} AS ps FROM part), s AS (SELECT p_partkey, CASE WHEN n = 'pa_bl' THEN 1.0 WHEN starts_with(n, 'pa_bl') THEN 0.9 WHEN contains(n, 'pa_bl') THEN 0.7 ELSE ((len(list_filter(ps, lambda x: starts_with(x, 'pa'))) > 0)::INT + (len(list_filter(ps, lambda x: starts_with(x, 'bl'))) > 0)::INT) / 2 * 0.8 END::DOUBLE AS score FROM a) SELECT p_partkey, round(score, 6) AS score FROM s WHERE score > 0.3")
+def fuzzy_symbols(t) -> DataFrame:
+    rows = t("part").select("p_partkey", retrieval.fuzzy_score(F.col("p_name"), "pa_bl").alias("score"))
+    return rows.filter("score > 0.3").withColumn("score", r6("score"))
+
+
+@query("WITH x AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents), y AS (SELECT id, ls, unnest(ls) AS content, generate_subscripts(ls, 1)::BIGINT AS line FROM x) SELECT id, line, array_to_string(ls[greatest(1, line - 1):line + 1], chr(10)) AS context FROM y WHERE regexp_matches(content, '(?i)licen[cs]ed? under')")
+def grep_context(t) -> DataFrame:
+    return retrieval.line_context(t("documents"), "licen[cs]ed? under", 1)
+
+
+_HTML = "coalesce(html, '')"
+_CYCLES = "1 + " + _POINTS.replace("lower(text)", f"lower({_HTML})")
+
+
+@query(f"WITH x AS (SELECT page_id, string_split({_HTML}, chr(10)) AS ls FROM pages), l AS (SELECT page_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM x), d AS (SELECT page_id, line, sum(len(replace(line, '}}', '')) - len(replace(line, '{{', ''))) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM l), n AS (SELECT page_id, greatest(0, max(depth))::BIGINT AS max_nesting, count(*) FILTER (contains(line, 'return ')) AS returns FROM d GROUP BY 1), c AS (SELECT page_id, ({_CYCLES})::BIGINT AS cyclomatic, len(string_split({_HTML}, chr(10))) - CASE WHEN {_HTML} = '' OR ends_with({_HTML}, chr(10)) THEN 1 ELSE 0 END AS lines FROM pages) SELECT page_id AS id, lines::BIGINT AS lines, returns, cyclomatic, max_nesting, cyclomatic + 2 * max_nesting AS cognitive, CASE WHEN cyclomatic <= 5 THEN 'low' WHEN cyclomatic <= 10 THEN 'medium' WHEN cyclomatic <= 20 THEN 'high' ELSE 'very_high' END AS rating FROM c JOIN n USING (page_id)")
+def file_complexity(t) -> DataFrame:
+    return code.complexity(t("pages"), "page_id", "html")
+
+
+@query("WITH c AS (SELECT l_partkey AS part, l_suppkey, (o_orderdate, l_orderkey, l_linenumber) AS moment FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT part, count(*) AS changes, count(DISTINCT l_suppkey) AS authors, arg_min(l_suppkey, moment) AS created_by, arg_max(l_suppkey, moment) AS changed_by FROM c GROUP BY part")
+def chunk_evolution(t) -> DataFrame:
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return code.evolution(rows, "l_partkey", "l_suppkey", ["o_orderdate", "l_orderkey", "l_linenumber"])
+
+
+@query("WITH bb AS (SELECT o_orderkey AS id, {'s': o_orderstatus, 'u': o_orderdate} AS b FROM orders WHERE o_orderkey % 5 <> 0), oo AS (SELECT o_orderkey AS id, {'s': o_orderstatus, 'u': o_orderdate + to_days((o_orderkey % 3)::INT)} AS o FROM orders WHERE o_orderkey % 7 <> 0), tt AS (SELECT o_orderkey AS id, {'s': CASE WHEN o_orderkey % 2 = 0 THEN 'P' ELSE o_orderstatus END, 'u': o_orderdate + to_days((o_orderkey % 2)::INT)} AS t FROM orders WHERE o_orderkey % 11 <> 0), j AS (SELECT id, CASE WHEN o IS NOT NULL AND t IS NOT NULL THEN CASE WHEN o.s = 'F' THEN o WHEN t.s = 'F' THEN t WHEN o.u > t.u THEN o ELSE t END WHEN b IS NULL THEN coalesce(o, t) END AS p FROM bb FULL JOIN oo USING (id) FULL JOIN tt USING (id)) SELECT id, p.s AS status, p.u AS updated FROM j WHERE p IS NOT NULL")
+def three_way_merge_todos(t) -> DataFrame:
+    rows, k = t("orders"), F.col("o_orderkey")
+    later = lambda n: F.expr(f"o_orderdate + make_dt_interval(cast(o_orderkey % {n} as int))")
+    side = lambda keep, status, updated: rows.filter(keep).select(k.alias("id"), status.alias("status"), updated.alias("updated"))
+    status = F.col("o_orderstatus")
+    return merge.merge_latest(side(k % 5 != 0, status, F.col("o_orderdate")), side(k % 7 != 0, status, later(3)), side(k % 11 != 0, F.when(k % 2 == 0, "P").otherwise(status), later(2)), "F")
+
+
+@query("WITH n AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) SELECT o_custkey, o_orderkey FROM n UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM n)")
+def upsert_rows(t) -> DataFrame:
+    rows = t("orders").select("o_custkey", "o_orderkey")
+    return graph.upsert(rows, graph.latest(rows.filter("o_orderkey % 3 = 0"), ["o_custkey"], [F.desc("o_orderkey")]), ["o_custkey"])
