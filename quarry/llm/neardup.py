@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.llm.kernels import mix64, pair_hash, string_buffers, word_hashes
 from quarry.llm.storage import documents, keep, only
+from quarry.llm.workers import tidy
 
 U64 = np.uint64
 BINS, ROWS = 252, 6
@@ -122,7 +123,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "n_shingles", "key", "bands"],
                 )
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>")
+    return only(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
 def bounded_join(left: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
@@ -145,7 +146,7 @@ def set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int)
     texts = bounded_join(only(docs, "doc_id", "text"), wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     if wanted.filter("rep is null").limit(1).count():
         texts = texts.unionByName(only(docs, "doc_id", "text").filter("doc_id is null"))
-    return texts.mapInArrow(run, "key binary, items binary").dropDuplicates(["key"]).join(wanted.select("node", "key"), "key").select("node", "items")
+    return texts.mapInArrow(tidy(run), "key binary, items binary").dropDuplicates(["key"]).join(wanted.select("node", "key"), "key").select("node", "items")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,7 +166,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def compare_blocks(percent: int):

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.pieces import library_encoder
 from quarry.llm.storage import documents, only
+from quarry.llm.workers import tidy
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Ids packed together: the open sequences of a pool are this many / the sequence's length.
@@ -163,7 +164,7 @@ def packed(docs: DataFrame, path: str, most: int = 2048, end_id: int = 1, pool_t
         if held:
             yield rows(powers_of_two([(k, 0, len(x[1])) for k, x in enumerate(held)]))
 
-    return only(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return only(docs, "doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm.storage import documents, only
+from quarry.llm.workers import tidy, values
 
 #: Labelled rows that fit the model at most.
 SAMPLE = 12_000
@@ -170,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         found = (Counter(), Counter())
         size = [0, 0]
         for b in batches:
-            for i, t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for i, t, y in zip(*map(values, b.columns)):
                 if zlib.crc32(b"half%d" % i) & 1:
                     continue
                 found[y != 0].update(_terms(t or ""))
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             [pa.array(terms), pa.array([*(found[1][t] for t in terms[:-1]), size[1]], pa.int64()), pa.array([*(found[0][t] for t in terms[:-1]), size[0]], pa.int64())], ["term", "p", "n"]
         )
 
-    counts = texts.select("doc_id", "text", "toxic").mapInArrow(count, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counts = texts.select("doc_id", "text", "toxic").mapInArrow(tidy(count), "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     rows = counts.filter(F.col("p") >= LEAST_DOCS).collect()  # terms of at most `sample` texts' toxic part
     sizes = counts.filter("term = ''").first()
     toxic, other = (sizes["p"], sizes["n"]) if sizes else (0, 0)
@@ -189,10 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(y != 0, *features(*weigh(t or "", model))) for i, t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) if zlib.crc32(b"half%d" % i) & 1]
+            rows = [(y != 0, *features(*weigh(t or "", model))) for i, t, y in zip(*map(values, b.columns)) if zlib.crc32(b"half%d" % i) & 1]
             yield pa.RecordBatch.from_arrays([pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(3)], ["y", "a", "b"])
 
-    got = np.array([tuple(r) for r in texts.select("doc_id", "text", "toxic").mapInArrow(weights, "y double, a double, b double").collect()], float).reshape(-1, 3)  # at most `sample` rows
+    got = np.array([tuple(r) for r in texts.select("doc_id", "text", "toxic").mapInArrow(tidy(weights), "y double, a double, b double").collect()], float).reshape(-1, 3)  # at most `sample` rows
     got = got[np.lexsort(got.T)]
     y = got[:, 0]
     if not len(y) or not y.any() or y.all() or not lexicon:
@@ -210,13 +211,13 @@ def scored(docs: DataFrame, model: Model, *names: str) -> DataFrame:
         c = model.coefficients
         for b in batches:
             out = []
-            for t in b.column(n).to_pylist():
+            for t in values(b.column(n)):
                 f = features(*weigh(t or "", model))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * f[0] + c[2] * f[1])))))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.float64())], [*names, "__score"])
 
     schema = kept.drop("__text").schema.add("__score", "double")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
