@@ -37,11 +37,16 @@ def dead_confidence(name: Column, exported: Column, method: Column, dead_callers
 
 
 def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(ref_id, symbol_id): exact id first, then the same directory, then the first id of that name."""
-    byname = refs.join(symbols, refs.target == symbols.name).select("ref_id", "symbol_id", F.when(refs.dir == symbols.dir, 1).otherwise(2).alias("rank"))
-    exact = refs.join(symbols, refs.target == symbols.symbol_id).select("ref_id", "symbol_id", F.lit(0).alias("rank"))
-    best = exact.unionByName(byname).groupBy("ref_id").agg(F.min(F.struct("rank", "symbol_id")).alias("b"))
-    return best.select("ref_id", F.col("b.symbol_id").alias("symbol_id"))
+    """(ref_id, symbol_id): exact id first, then the same directory, then the first id of that name.
+
+    Names are reduced to one symbol before they are joined, so a common name makes no pairs.
+    """
+    first = F.min("symbol_id")
+    near = symbols.groupBy(F.col("name").alias("target"), "dir").agg(first.alias("near"))
+    far = symbols.groupBy(F.col("name").alias("target")).agg(first.alias("far"))
+    exact = symbols.select(F.col("symbol_id").alias("target"), F.col("symbol_id").alias("exact")).distinct()
+    rows = refs.join(exact, "target", "left").join(near, ["target", "dir"], "left").join(far, "target", "left")
+    return rows.select("ref_id", F.coalesce("exact", "near", "far").alias("symbol_id")).filter("symbol_id is not null")
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.code import decision_points, matches_glob, rating
-from quarry.operators import code, graph, merge, retrieval
+from quarry.operators import chunking, code, graph, merge, records, retrieval
+from quarry.sources import history
 from quarry.streaming.debounce import debounced
 
 QUERIES, ORACLES = {}, {}
@@ -13,10 +14,11 @@ NOW, THEN = "2024-01-31 00:00:00", "2001-12-01 00:00:00"
 WORDS = r"regexp_extract_all(lower(text), '[\pL\pN]+')"
 
 
-def query(sql: str):
+def query(sql: str | None):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        ORACLES[f.__name__] = sql
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -322,3 +324,72 @@ def three_way_merge_todos(t) -> DataFrame:
 def upsert_rows(t) -> DataFrame:
     rows = t("orders").select("o_custkey", "o_orderkey")
     return graph.upsert(rows, graph.latest(rows.filter("o_orderkey % 3 = 0"), ["o_custkey"], [F.desc("o_orderkey")]), ["o_custkey"])
+
+
+@query("SELECT l_orderkey, l_orderkey || '-' || l_linenumber AS hash, 'x' || l_suppkey AS author, l_shipdate AS date, l_returnflag = 'R' AS is_merge, 1::BIGINT AS files_changed, l_quantity::BIGINT AS insertions, l_partkey::BIGINT AS deletions FROM lineitem")
+def commit_log(t) -> DataFrame:
+    field = lambda *c: F.concat_ws("\0", *c)
+    head = field(F.concat_ws("-", "l_orderkey", "l_linenumber"), F.lit("h"), F.concat(F.lit("x"), F.col("l_suppkey")), F.lit("a@x"), F.unix_timestamp("l_shipdate").cast("string"), F.when(F.col("l_returnflag") == "R", "Merge").otherwise("Fix"), F.lit(""), F.lit(""))
+    text = F.concat(head, F.lit("\n\n"), F.concat_ws("\t", F.col("l_quantity").cast("long"), "l_partkey", F.lit("a file.py")), F.lit("\n\n"))
+    logs = t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(text), "").alias("log"))
+    return history.commits(logs).select("l_orderkey", "hash", "author", F.col("date").cast("timestamp_ntz").alias("date"), "is_merge", "files_changed", "insertions", "deletions")
+
+
+@query(f"SELECT event_id, round(CASE WHEN value > 0.01 THEN value * exp(-0.693147 * epoch(TIMESTAMP '{NOW}' - ts) / 86400 / 30) ELSE value END, 6) AS confidence FROM events")
+def confidence_decay(t) -> DataFrame:
+    return t("events").select("event_id", r6(records.decayed(F.col("value"), F.col("ts"), F.lit(NOW).cast("timestamp"), 30)).alias("confidence"))
+
+
+_MOVE = "CASE o_orderstatus WHEN 'O' THEN 'in_progress' WHEN 'F' THEN 'completed' ELSE 'pending' END"
+
+
+@query(f"SELECT o_orderkey, {_MOVE} AS status, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate WHEN o_orderstatus = 'O' THEN TIMESTAMP '{THEN}' END AS started_at, CASE WHEN o_orderstatus = 'F' THEN TIMESTAMP '{THEN}' END AS completed_at, TIMESTAMP '{THEN}' AS updated_at FROM orders")
+def todo_transitions(t) -> DataFrame:
+    now = F.lit(THEN).cast("timestamp_ntz")
+    todos = t("orders").select("o_orderkey", "o_orderstatus", F.lit("pending").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")).alias("started_at"), F.col("o_orderdate").alias("completed_at"), F.col("o_orderdate").alias("updated_at"))
+    return records.with_status(todos, F.expr(_MOVE), now).drop("o_orderstatus")
+
+
+#: Tools and words by which a request for them is known; a parameter of the operator.
+_TOOLS = {"page_links": ["href", "link"], "page_text": ["text", "<p", "paragraph"], "page_scripts": ["script", "function"], "page_lists": ["<li", "list"], "page_tables": ["table", "<td"]}
+_SCORES = " UNION ALL ".join("SELECT page_id, '" + k + "' AS tool, " + " + ".join(f"CASE WHEN contains(lower(html), '{w}') THEN {len(w)} ELSE 0 END" for w in v) + " AS score FROM pages" for k, v in _TOOLS.items())
+
+
+@query(f"WITH s AS ({_SCORES}), r AS (SELECT page_id, tool, score::BIGINT AS score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, tool) AS rank FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 3")
+def tool_routes(t) -> DataFrame:
+    return records.routes(t("pages"), "page_id", "html", _TOOLS)
+
+
+_RANGE = "o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-06-30'"
+
+
+@query(f"WITH c AS (SELECT o_orderkey AS hash, lower(o_orderpriority) AS m, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders WHERE {_RANGE}), h AS (SELECT l_orderkey AS hash, sum(CASE WHEN l_linestatus = 'O' THEN 0.3 ELSE 0 END + CASE WHEN l_returnflag = 'R' THEN 0.1 ELSE 0 END) AS hits FROM lineitem GROUP BY 1), s AS (SELECT hash, CASE WHEN contains(m, 'urgent') THEN 0.2 ELSE 0 END + CASE WHEN contains(m, 'open') THEN 0.2 ELSE 0 END + coalesce(hits, 0) + CASE WHEN n > 1 THEN place / n * 0.2 ELSE 0 END AS score FROM c LEFT JOIN h USING (hash)) SELECT hash, round(score::DOUBLE, 6) AS score FROM s WHERE score > 0")
+def regression_candidates(t) -> DataFrame:
+    commits = t("orders").filter(_RANGE).select(F.col("o_orderkey").alias("hash"), F.col("o_orderpriority").alias("message"), F.col("o_orderdate").alias("date"))
+    functions = F.when(F.col("l_linestatus") == "O", F.array(F.lit("openFile")))
+    changes = t("lineitem").select(F.col("l_orderkey").alias("hash"), functions.alias("functions"), F.when(F.col("l_returnflag") == "R", "+ Urgent").alias("diff"))
+    return records.regression_candidates(commits, changes, "Urgent open", None).withColumn("score", r6("score"))
+
+
+@query("WITH p AS (SELECT page_id, string_split(url, '/') AS ps FROM pages), d AS (SELECT page_id, array_to_string(ps[1:k], '/') AS dir FROM p, LATERAL (SELECT unnest(range(1, len(ps))) AS k)) SELECT dir, count(*) AS files, count(*) FILTER (page_id % 3 = 0) AS indexed FROM d GROUP BY dir")
+def directory_rollup(t) -> DataFrame:
+    return records.directories(t("pages"), F.col("url"), F.col("page_id") % 3 == 0)
+
+
+@query("WITH a AS (SELECT o_orderkey, o_orderkey::VARCHAR AS h, date_diff('day', o_orderdate, TIMESTAMP '1996-12-01') AS age, o_orderstatus = 'P' AS tagged, o_orderpriority = '1-URGENT' AS merge FROM orders) SELECT o_orderkey FROM a WHERE CASE WHEN age <= 30 THEN true WHEN age <= 365 THEN tagged OR merge OR list_sum(list_transform(string_split(h, ''), lambda x: ascii(x))) % 100 < 40 ELSE tagged END")
+def commit_sampling(t) -> DataFrame:
+    age = F.datediff(F.lit("1996-12-01").cast("timestamp"), "o_orderdate")
+    return t("orders").filter(records.is_sampled(F.col("o_orderkey").cast("string"), age, F.col("o_orderstatus") == "P", F.col("o_orderpriority") == "1-URGENT", 0.4)).select("o_orderkey")
+
+
+@query("WITH s AS (SELECT 'p' || p_partkey AS symbol_id, p_brand AS name, p_type AS dir FROM part WHERE p_partkey % 2 = 0), r AS (SELECT p_partkey AS ref_id, CASE WHEN p_partkey % 4 = 0 THEN 'p' || p_partkey ELSE p_brand END AS target, p_type AS dir FROM part), n AS (SELECT name, dir, min(symbol_id) AS near FROM s GROUP BY 1, 2), f AS (SELECT name, min(symbol_id) AS far FROM s GROUP BY 1) SELECT ref_id, coalesce(s.symbol_id, near, far) AS symbol_id FROM r LEFT JOIN s ON target = s.symbol_id LEFT JOIN n ON target = n.name AND r.dir = n.dir LEFT JOIN f ON target = f.name WHERE coalesce(s.symbol_id, near, far) IS NOT NULL")
+def resolve_symbols(t) -> DataFrame:
+    p, own = t("part"), F.concat(F.lit("p"), F.col("p_partkey"))
+    refs = p.select(F.col("p_partkey").alias("ref_id"), F.when(F.col("p_partkey") % 4 == 0, own).otherwise(F.col("p_brand")).alias("target"), F.col("p_type").alias("dir"))
+    return graph.resolve(refs, p.filter("p_partkey % 2 = 0").select(own.alias("symbol_id"), F.col("p_brand").alias("name"), F.col("p_type").alias("dir")))
+
+
+@query(None)  # chunks grow line by line, which SQL can't tell; tests hold them against their rule
+def document_chunks(t) -> DataFrame:
+    files = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.lit("text").alias("language"))
+    return chunking.chunks(files, 200).select(F.col("path").cast("long").alias("doc_id"), "chunk_type", "start_line", "end_line", "hash")

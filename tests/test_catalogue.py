@@ -20,7 +20,7 @@ def norm(rows, names):
 
 
 @pytest.mark.skipif(not TABLES, reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query(spark, name):
     c = duckdb.connect()
     for t in TABLES:
