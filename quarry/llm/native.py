@@ -40,24 +40,18 @@ def running(xs: Column, block: int = 64) -> Column:
     return let(xs, of)
 
 
-def spans_of(text: Column, pattern: str, context: int = 0) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, end, match[, left, right]>>, in code points, end exclusive.
+def spans_of(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as array<struct<start, end, match>>, in code points, end exclusive.
 
     Places come from the lengths of the matches and of what `split` leaves
-    between them. With context, left and right hold up to so many characters
-    between the match and its neighbours, without a word that is cut.
+    between them.
     """
 
     def of(m: Column, gaps: Column) -> Column:
         def build(ends: Column) -> Column:
             def one(e: Column, i: Column) -> Column:
                 match = F.element_at(m, i + 1)
-                cols = [(e - F.length(match)).alias("start"), e.alias("end"), match.alias("match")]
-                if context:
-                    g, h = F.element_at(gaps, i + 1), F.element_at(gaps, i + 2)
-                    cols.append(F.when(F.length(g) > context, F.regexp_replace(F.right(g, F.lit(context)), r"^\p{L}+", "")).otherwise(g).alias("left"))
-                    cols.append(F.when(F.length(h) > context, F.regexp_replace(F.left(h, F.lit(context)), r"\p{L}+\z", "")).otherwise(h).alias("right"))
-                return F.struct(*cols)
+                return F.struct((e - F.length(match)).alias("start"), e.alias("end"), match.alias("match"))
 
             return F.transform(ends, one)
 

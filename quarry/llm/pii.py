@@ -1,8 +1,9 @@
 """Operator 4: personal data, and the terms around it that give it away.
 
 Base spans (email, ip, card, phone) come from the stated patterns. Every letter
-term within CONTEXT characters of a base span co-occurs with that entity. Over
-all documents N, with n(e), n(t), n(t, e) the documents that hold an entity, a
+term within CONTEXT characters of a base span co-occurs with that entity. The
+text around a span is taken as it is, across failed matches and other spans; only
+letters inside base spans are no terms. Over all documents N, with n(e), n(t), n(t, e) the documents that hold an entity, a
 term, and the two together, a term discloses
 
     PMI(t, e) / IC(e) = ln(N n(t, e) / (n(e) n(t))) / ln(N / n(e))
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarry.llm.native import joined, none_of, replaced, spans_of
+from quarry.llm.native import joined, let, none_of, replaced, spans_of
 from quarry.llm.neardup import bounded_join
 from quarry.llm.storage import documents, keep, only
 
@@ -57,15 +58,30 @@ def entity(kind: str, m: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.lower(m) if kind in ("email", "ip") else F.regexp_replace(m, "[^0-9]", ""))
 
 
+def outside_of_base(text: Column) -> Column:
+    """The text with blanks in place of base spans that hold letters (email only), each of its span's length."""
+    pattern = PATTERNS["email"]
+    blanked = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.length(m)), F.lit(""))))
+    return F.when(text.rlike(HINTS["email"]), F.array_join(blanked, "")).otherwise(text)
+
+
 def found_in(text: Column) -> Column:
     """Base spans of a text as array<struct<start, kind, end, entity, left, right>>."""
 
-    def of(k: int, kind: str) -> Column:
-        spans = F.filter(spans_of(text, PATTERNS[kind], CONTEXT), lambda s: passes(kind, s["match"]))
-        rows = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), entity(kind, s["match"]).alias("entity"), s["left"].alias("left"), s["right"].alias("right")))
+    def left(outside: Column, s: Column) -> Column:
+        side = F.substring(outside, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+        return F.when(s["start"] > CONTEXT, F.regexp_replace(side, r"^\p{L}+", "")).otherwise(side)
+
+    def right(outside: Column, s: Column) -> Column:
+        side = F.substring(outside, s["end"] + 1, F.lit(CONTEXT))
+        return F.when(F.length(side) == CONTEXT, F.regexp_replace(side, r"\p{L}+\z", "")).otherwise(side)
+
+    def of(k: int, kind: str, outside: Column) -> Column:
+        spans = F.filter(spans_of(text, PATTERNS[kind]), lambda s: passes(kind, s["match"]))
+        rows = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), entity(kind, s["match"]).alias("entity"), left(outside, s).alias("left"), right(outside, s).alias("right")))
         return F.when(text.rlike(HINTS[kind]), rows).otherwise(none_of("struct<start:int,kind:int,end:int,entity:string,left:string,right:string>"))
 
-    return F.concat(*(of(k, kind) for k, kind in enumerate(PATTERNS)))
+    return let(outside_of_base(text), lambda outside: F.concat(*(of(k, kind, outside) for k, kind in enumerate(PATTERNS))))
 
 
 def scanned(docs: DataFrame) -> DataFrame:

@@ -99,6 +99,16 @@ def test_disclosing_terms(spark, monkeypatch):
     assert clean[101][0] == "common words: [...], [EMAIL]" and clean[101][1] == len(clean[101][0]) and clean[0][0] == rows[0][1]
 
 
+def test_context_crosses_failed_matches_and_neighbours(spark, monkeypatch):
+    rows = [(i, f"plain common words number {chr(97 + i % 26) * 4} only") for i in range(60)]
+    rows += [(100, "Jan Kowalski, born 1975, card 4111 1111 1111 1111"), (101, "Kowalski, in 1980, card 4111 1111 1111 1111")]
+    rows += [(102, "only Wombat p@x.org q@x.org"), (103, "common Wombat r@x.org q@x.org")]
+    Tables(monkeypatch, pii, table(spark, rows))
+    got = {r.doc_id: r.spans for r in pii.op4_disclosure_pii(spark, "").collect()}
+    assert "removed:4:12" in got[100] and "removed:0:8" in got[101]
+    assert got[102] == "removed:5:11,email:12:19,email:20:27" and got[103] == "removed:7:13,email:14:21,email:22:29"
+
+
 def test_weak_parts_need_a_complement(spark, monkeypatch):
     far = " word" * 200
     rows = [(1, "user: bob then https://x.org/a and nothing"), (2, "user: bob, pwd=a1b2c"), (3, "user: bob" + far + " pwd=a1b2c"), (4, "0123456789abcdef01234567 at db.host:5432"), (5, "0123456789abcdef01234567 alone")]
