@@ -1,32 +1,37 @@
-"""Operator 4: personal data, and the terms around it that give it away.
+"""Operator 4: personal data, and the terms that give it away.
 
 Base spans (email, ip, card, phone) come from the stated patterns. Every letter
-term within CONTEXT characters of a base span co-occurs with that entity. The
-text around a span is taken as it is, across failed matches and other spans; only
-letters inside base spans are no terms. Over all documents N, with n(e), n(t), n(t, e) the documents that hold an entity, a
-term, and the two together, a term discloses
+term of a document, wherever it stands outside base spans, co-occurs with all
+entities of the document. Over all documents N, with n(e), n(t), n(t, e) the
+documents that hold an entity, a term, and the two together, a term discloses
 
     PMI(t, e) / IC(e) = ln(N n(t, e) / (n(e) n(t))) / ln(N / n(e))
 
 of an entity's information (at most 1: the term occurs with it only). Terms that
 do so in at least SUPPORT different texts and disclose REMOVE or more are
-removed, GENERALISE or more generalised, where they stand near that entity.
+removed, GENERALISE or more generalised, everywhere in documents that hold both.
+
+Since n(t, e) <= n(e), a term that reaches GENERALISE has
+n(t) <= n(e) (N / n(e)) ** (1 - GENERALISE): pairs beyond it are never made.
 
 Defined cases: a null text is empty; a null doc_id is a value of its own;
 repeated rows count each and get the same spans; an empty table gives no row;
-extra columns are ignored. Only spans, counts and terms move, never texts.
+extra columns are ignored. Spans, counts and terms move; texts only if flagged terms
+are too many to go to all executors.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.llm.native import joined, let, none_of, replaced, spans_of
-from quarry.llm.neardup import bounded_join
 from quarry.llm.storage import documents, keep, only
 
-CONTEXT = 100
 SUPPORT = 2
+#: Flagged terms of all texts that may go to all executors at once.
+BROADCAST_FLAGS = 200_000
 REMOVE, GENERALISE = 0.95, 0.85
 TERM = r"\p{L}{3,}"
 KINDS = ["email", "ip", "card", "phone", "removed", "generalised"]
@@ -66,71 +71,97 @@ def outside_of_base(text: Column) -> Column:
 
 
 def found_in(text: Column) -> Column:
-    """Base spans of a text as array<struct<start, kind, end, entity, left, right>>."""
+    """Base spans of a text as array<struct<start, kind, end, entity>>."""
 
-    def left(outside: Column, s: Column) -> Column:
-        side = F.substring(outside, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        return F.when(s["start"] > CONTEXT, F.regexp_replace(side, r"^\p{L}+", "")).otherwise(side)
+    def of(k: int, kind: str) -> Column:
+        spans = F.filter(spans_of(text, PATTERNS[kind]), lambda s: passes(kind, s["match"]))
+        rows = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), entity(kind, s["match"]).alias("entity")))
+        return F.when(text.rlike(HINTS[kind]), rows).otherwise(none_of("struct<start:int,kind:int,end:int,entity:string>"))
 
-    def right(outside: Column, s: Column) -> Column:
-        side = F.substring(outside, s["end"] + 1, F.lit(CONTEXT))
-        return F.when(F.length(side) == CONTEXT, F.regexp_replace(side, r"\p{L}+\z", "")).otherwise(side)
+    return F.concat(*(of(k, kind) for k, kind in enumerate(PATTERNS)))
 
-    def of(k: int, kind: str, outside: Column) -> Column:
-        spans = F.filter(spans_of(text, PATTERNS[kind]), lambda s: passes(kind, s["match"]))
-        rows = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), entity(kind, s["match"]).alias("entity"), left(outside, s).alias("left"), right(outside, s).alias("right")))
-        return F.when(text.rlike(HINTS[kind]), rows).otherwise(none_of("struct<start:int,kind:int,end:int,entity:string,left:string,right:string>"))
 
-    return let(outside_of_base(text), lambda outside: F.concat(*(of(k, kind, outside) for k, kind in enumerate(PATTERNS))))
+def key_of(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, found) of every row; key is a hash of the text that tells rows of one doc_id apart."""
+    """(doc_id, key, found) of every row; key is a hash of the text."""
     text = F.coalesce("text", F.lit(""))
-    return only(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("key"), found_in(text).alias("found"))
+    return only(docs, "doc_id", "text").select("doc_id", key_of(text).alias("key"), found_in(text).alias("found"))
 
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """(doc_id, key, entity, term, start, end) for every term in the context of a base span."""
-    s = found.select("doc_id", "key", F.explode("found").alias("s")).select("doc_id", "key", "s.*")
-    sides = F.array(
-        F.struct((F.col("start") - F.length("left")).alias("at"), F.col("left").alias("text")),
-        F.struct(F.col("end").alias("at"), F.col("right").alias("text")),
-    )
-    sides = s.select("doc_id", "key", "entity", F.explode(sides).alias("c")).select("doc_id", "key", "entity", "c.*")
-    terms = sides.select("doc_id", "key", "entity", "at", F.explode(spans_of(F.col("text"), TERM)).alias("t"))
-    return terms.select("doc_id", "key", "entity", F.lower("t.match").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
+def terms_of(text: Column) -> Column:
+    """Distinct terms of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def hinted(docs: DataFrame) -> DataFrame:
+    """(key, text) of all rows that may hold a base span."""
+    texts = only(docs, "text").select(key_of(F.col("text")).alias("key"), "text")
+    return texts.filter(functools.reduce(lambda a, b: a | b, (F.col("text").rlike(h) for h in HINTS.values())))
+
+
+def held_entities(found: DataFrame) -> DataFrame:
+    """(key, entity, n, n_entity) of the entities in at least SUPPORT texts; n rows have the text, n_entity the entity."""
+    held = found.select("key", F.explode(F.array_distinct(F.transform("found", lambda s: s["entity"]))).alias("entity")).groupBy("key", "entity").agg(F.count("*").alias("n"))
+    known = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts")
+    return held.join(known, "entity").select("key", "entity", "n", "n_entity")
+
+
+def term_limit(n_entity: Column, total: int) -> Column:
+    """Most documents of a term that can reach GENERALISE with an entity, a little more for rounding."""
+    return n_entity * F.pow(F.lit(float(total)) / n_entity, F.lit(1 - GENERALISE)) * (1 + 1e-9)
 
 
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
+def together(docs: DataFrame, held: DataFrame, total: int) -> DataFrame:
+    """(key, entity, term, n, n_entity, n_term) for every entity of a text and every term of it that may disclose the entity."""
+    most = held.agg(F.max(term_limit(F.col("n_entity"), total))).first()[0] or 0.0
+    of_term = only(docs, "text").select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    of_term = of_term.filter((F.col("n_term") >= SUPPORT) & (F.col("n_term") <= most))
+    words = hinted(docs).select("key", F.explode(terms_of(outside_of_base(F.col("text")))).alias("term")).join(of_term, "term").distinct()
+    return words.join(held, "key").filter(F.col("n_term") <= term_limit(F.col("n_entity"), total))
+
+
+def disclosing(pairs: DataFrame, total: int) -> DataFrame:
     """(entity, term, disclosure) of the terms that reach GENERALISE, from counts over all documents."""
-    pairs = near.select("doc_id", "key", "entity", "term").distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.min("key").alias("k0"), F.max("key").alias("k1"))
-    texts = pairs.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("texts"))
-    both = both.filter("k0 <> k1").join(texts.filter(F.col("texts") >= SUPPORT), ["entity", "term"])
-    of_entity = near.select("doc_id", "key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = only(docs, "text").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(float(docs.count()))
-    pmi = F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    ic = F.log(total / F.col("n_entity"))
-    scored = both.join(of_entity, "entity").join(of_term, "term").select("entity", "term", F.when(ic > 0, pmi / ic).alias("disclosure"))
+    both = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    pmi = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    ic = F.log(F.lit(float(total)) / F.col("n_entity"))
+    scored = both.filter(F.col("texts") >= SUPPORT).select("entity", "term", F.when(ic > 0, pmi / ic).alias("disclosure"))
     return scored.filter(F.col("disclosure") >= GENERALISE)
 
 
-def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, key, terms): the spans that the method adds, of the rows that have any."""
-    near = near_terms(found)
-    flagged = keep(disclosing(docs, near), "disclosing")
+def flagged_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, flags): the terms that go, as array<struct<term, kind>>, of the texts that hold them and their entity."""
+    total = docs.count()
+    held = keep(held_entities(found), "pii-held")
+    pairs = keep(together(docs, held, total), "pii-pairs")
     kind = F.when(F.col("disclosure") >= REMOVE, 4).otherwise(5)
-    hit = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(F.min(kind).alias("kind"))
-    return hit.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
+    hit = pairs.select("key", "entity", "term").join(disclosing(pairs, total), ["entity", "term"]).groupBy("key", "term").agg(F.min(kind).alias("kind"))
+    return hit.groupBy("key").agg(F.collect_list(F.struct("term", "kind")).alias("flags"))
+
+
+def flagged_spans(text: Column, flags: Column) -> Column:
+    """Every place of the flagged terms outside base spans, as array<struct<start, kind, end>>."""
+    kinds = F.map_from_entries(flags)
+    spans = F.transform(spans_of(outside_of_base(text), TERM), lambda s: F.struct(s["start"].alias("start"), F.try_element_at(kinds, F.lower(s["match"])).alias("kind"), s["end"].alias("end")))
+    return F.filter(spans, lambda s: s["kind"].isNotNull())
+
+
+def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, terms): the spans that the method adds, of the texts that have any.
+
+    Texts that may hold a base span move only if the flagged terms are too many to go to all executors.
+    """
+    flags = keep(flagged_terms(docs, found), "pii-flags")
+    few = (flags.agg(F.sum(F.size("flags"))).first()[0] or 0) <= BROADCAST_FLAGS
+    rows = hinted(docs).join(F.broadcast(flags) if few else flags, "key")
+    return rows.select("key", flagged_spans(F.col("text"), F.col("flags")).alias("terms")).groupBy("key").agg(F.first("terms").alias("terms"))
 
 
 def _joined_terms(left: DataFrame, terms: DataFrame) -> DataFrame:
-    r = terms.select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key"), "terms")
-    out = left.join(r, left["doc_id"].eqNullSafe(F.col("r_id")) & (left["key"] == F.col("r_key")), "left").drop("r_id", "r_key")
-    return out.withColumn("terms", F.coalesce("terms", none_of("struct<start:int,kind:int,end:int>")))
+    return left.join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none_of("struct<start:int,kind:int,end:int>")))
 
 
 def base_of(found: Column) -> Column:
@@ -142,14 +173,13 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
     Texts move only if the added spans are too many to go to all executors.
     """
-    found = keep(scanned(docs), "pii")
-    terms = keep(term_spans(docs, found), "pii-terms")
+    terms = keep(term_spans(docs, keep(scanned(docs), "pii")), "pii-terms")
     names = docs.columns
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("__key", F.xxhash64(text))
-    t = terms.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("terms").alias("__terms"))
-    few = terms.limit(100_001).count() <= 100_000  # with at most a few hundred bytes each
-    rows = rows.join(F.broadcast(t) if few else t, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
+    t = terms.select(F.col("key").alias("__k"), F.col("terms").alias("__terms"))
+    few = (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= BROADCAST_FLAGS
+    rows = docs.withColumn("__key", key_of(text))
+    rows = rows.join(F.broadcast(t) if few else t, F.col("__key") == F.col("__k"), "left")
     spans = F.concat(base_of(found_in(text)), F.coalesce("__terms", none_of("struct<start:int,kind:int,end:int>")))
     rows = rows.withColumn("__spans", spans).withColumn("text", F.when(F.size("__spans") > 0, replaced(text, F.col("__spans"), LABELS)).otherwise(F.col("text")))
     if "n_chars" in names:

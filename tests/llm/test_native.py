@@ -109,6 +109,23 @@ def test_context_crosses_failed_matches_and_neighbours(spark, monkeypatch):
     assert got[102] == "removed:5:11,email:12:19,email:20:27" and got[103] == "removed:7:13,email:14:21,email:22:29"
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_terms_far_from_their_entity(spark, monkeypatch, few):
+    far = " common words" * 40
+    rows = [(i, f"plain common words number {chr(97 + i % 26) * 4} only") for i in range(60)]
+    rows += [(100, "Quokka q@x.org" + far + " QUOKKA wombat"), (101, "wombat" + far + " q@x.org" + far + " quokka"), (101, "wombat" + far + " q@x.org" + far + " quokka"), (102, "quokka@x.org common")]
+    monkeypatch.setattr(pii, "BROADCAST_FLAGS", few)
+    Tables(monkeypatch, pii, table(spark, rows))
+    got = {r.doc_id: r.spans for r in pii.op4_disclosure_pii(spark, "").collect()}
+    at = lambda d, w: rows[60 + d - 100][1].rindex(w)
+    a, b, c, e = at(100, "QUOKKA"), at(100, "wombat"), at(101, "q@x.org"), at(101, "quokka")
+    kind = got[100].split(":")[0]  # quokka is also in the address of 102: 3 of 4 documents
+    assert kind == "generalised" and got[100] == f"{kind}:0:6,email:7:14,{kind}:{a}:{a + 6},removed:{b}:{b + 6}"
+    assert got[101] == f"removed:0:6,email:{c}:{c + 7},{kind}:{e}:{e + 6}" and got[102] == "email:0:12"
+    clean = {r.doc_id: r.text for r in pii.sanitised(table(spark, rows)).collect()}
+    assert clean[100] == "[TERM] [EMAIL]" + far + " [TERM] [...]" and clean[102] == "[EMAIL] common"
+
+
 def test_weak_parts_need_a_complement(spark, monkeypatch):
     far = " word" * 200
     rows = [(1, "user: bob then https://x.org/a and nothing"), (2, "user: bob, pwd=a1b2c"), (3, "user: bob" + far + " pwd=a1b2c"), (4, "0123456789abcdef01234567 at db.host:5432"), (5, "0123456789abcdef01234567 alone")]
