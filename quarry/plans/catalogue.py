@@ -167,6 +167,12 @@ def related_changes(t) -> DataFrame:
     return a.join(a.withColumnRenamed("part", "related"), "l_orderkey").filter("part <> related").groupBy("l_orderkey", "part", "related").agg(F.count("*").alias("n"))
 
 
+@query("SELECT a.l_orderkey, a.l_partkey AS part, b.l_partkey AS related, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY ALL")
+def related_changes_all(t) -> DataFrame:
+    a = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("part"))
+    return a.join(a.withColumnRenamed("part", "related"), "l_orderkey").filter("part <> related").groupBy("l_orderkey", "part", "related").agg(F.count("*").alias("n"))
+
+
 @query("SELECT s.l_orderkey, s.l_linenumber, p.p_partkey, count(*) AS n FROM lineitem s JOIN part p ON s.l_partkey = p.p_partkey AND s.l_quantity <= p.p_size AND s.l_quantity + 5 >= p.p_size - 10 GROUP BY ALL")
 def hunk_chunk_overlap(t) -> DataFrame:
     j = t("lineitem").join(t("part"), (F.col("l_partkey") == F.col("p_partkey")) & (F.col("l_quantity") <= F.col("p_size")) & (F.col("l_quantity") + 5 >= F.col("p_size") - 10))
