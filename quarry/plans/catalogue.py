@@ -131,6 +131,26 @@ def dead_code(t) -> DataFrame:
     return dead.select("p_partkey", r6(c).alias("confidence")).filter("confidence >= 0.5")
 
 
+ALL_EDGES = "SELECT DISTINCT l_partkey AS src, l_suppkey * 7 + l_linenumber AS dst FROM lineitem"
+
+
+def _all_edges(t) -> DataFrame:
+    return t("lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7 + F.col("l_linenumber")).alias("dst"))
+
+
+@query(f"WITH RECURSIVE e AS ({ALL_EDGES}), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM e, r WHERE e.src = r.node) SELECT node::BIGINT AS node FROM r")
+def reachability_all(t) -> DataFrame:
+    return graph.reachable(_all_edges(t), t("part").sparkSession.range(1, 2).select(F.col("id").alias("node")))
+
+
+@query(f"WITH RECURSIVE e AS ({ALL_EDGES}), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM e, r WHERE e.src = r.node) SELECT p_partkey, round(greatest(0.0, least(1.0, 0.85 - CASE WHEN p_size % 2 = 0 THEN 0.3 ELSE 0 END)), 6)::DOUBLE AS confidence FROM part WHERE p_partkey NOT IN (SELECT node FROM r) AND 0.85 - CASE WHEN p_size % 2 = 0 THEN 0.3 ELSE 0 END >= 0.5")
+def dead_code_all(t) -> DataFrame:
+    live = reachability_all(t)
+    dead = t("part").join(live, F.col("p_partkey") == live.node, "left_anti")
+    c = graph.dead_confidence(F.lit("x"), F.col("p_size") % 2 == 0, F.lit(False), F.lit(False))
+    return dead.select("p_partkey", r6(c).alias("confidence")).filter("confidence >= 0.5")
+
+
 @query("SELECT count(*) AS chunks, count(DISTINCT source) AS files, sum(n_chars)::BIGINT AS chars FROM documents")
 def store_stats(t) -> DataFrame:
     return t("documents").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("files"), F.sum("n_chars").alias("chars"))
@@ -231,6 +251,12 @@ def decision_counts(t) -> DataFrame:
     return t("documents").filter("lang = 'en'").select("doc_id", p.alias("points"), rating(p).alias("rating"))
 
 
+@query(f"SELECT doc_id, ({_POINTS})::BIGINT AS points, CASE WHEN {_POINTS} <= 5 THEN 'low' WHEN {_POINTS} <= 10 THEN 'medium' WHEN {_POINTS} <= 20 THEN 'high' ELSE 'very_high' END AS rating FROM documents")
+def decision_counts_all(t) -> DataFrame:
+    p = decision_points(F.col("text")).cast("long")
+    return t("documents").select("doc_id", p.alias("points"), rating(p).alias("rating"))
+
+
 @query("SELECT page_id, len(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>'))::BIGINT AS scripts FROM pages")
 def script_extract(t) -> DataFrame:
     return t("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(0))).cast("long").alias("scripts"))

@@ -18,3 +18,18 @@ def test_related_changes_of_all_commits(spark, tmp_path):
     want = collections.Counter((a[0], a[1], b[1]) for a, b in itertools.product(lines, lines) if a[0] == b[0] and a[1] != b[1])
     got = catalogue.QUERIES["related_changes_all"](spark, at).collect()
     assert {(r.l_orderkey, r.part, r.related): r.n for r in got} == want and len(got) == len(want)
+
+
+def test_graph_of_all_lines_and_parts(spark, tmp_path):
+    lines = [(1, 100, 3, "F", 50.0), (703, 200, 1, "O", 9.0), (1401, 0, 1, "F", 2.0), (900, 300, 1, "O", 1.0)]
+    parts = [(k, k % 5) for k in (1, 2, 499, 703, 900, 1401, 2101, 20000)]
+    docs = [(1, "if a", "en"), (2, "for b", "fr"), (3, "while", None)]
+    at = saved(tmp_path, lineitem=spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_linenumber int, l_linestatus string, l_quantity double"), part=spark.createDataFrame(parts, "p_partkey long, p_size int"), documents=spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    live = {1}
+    while more := {7 * s + n for p, s, n, *_ in lines if p in live} - live:
+        live |= more
+    assert live == {1, 703, 1401}
+    assert sorted(r.node for r in catalogue.QUERIES["reachability_all"](spark, at).collect()) == sorted(live)
+    want = {k: 0.55 if size % 2 == 0 else 0.85 for k, size in parts if k not in live}
+    assert {r.p_partkey: r.confidence for r in catalogue.QUERIES["dead_code_all"](spark, at).collect()} == want
+    assert {r.doc_id: r.points for r in catalogue.QUERIES["decision_counts_all"](spark, at).collect()} == {1: 1, 2: 1, 3: 1}
