@@ -4,7 +4,7 @@ Each task packs the documents it reads, a pool of ids at a time. Documents are
 taken by descending length; a sequence costs LINEAR * ids + QUADRATIC * (sum of
 its pieces' squared lengths), as attention within each piece does. A document
 goes to the open sequence of least cost with room for all of it; where none has
-room it is cut to fill the sequences with most room. As many sequences are open
+room it is cut to fill the sequence with most room, and what is left goes on so. As many sequences are open
 as the pool's ids fill, so none is left half empty. The last ids of a task are
 cut into sequences whose lengths are powers of two, which need no padding.
 
@@ -35,6 +35,55 @@ TEXT_CHUNK = 1 << 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class OpenSequences:
+    """Open sequences by room, each in a heap by cost; a tree over the rooms holds the least cost of each range."""
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, most: int, bins: int):
+        self.size = 1 << most.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(most + 1)]
+        self.tree = [self.NONE] * (2 * self.size)
+        self.heaps[most] = [(0.0, b) for b in range(bins)]
+        self._renew(most)
+
+    def _renew(self, room: int) -> None:
+        i, tree = self.size + room, self.tree
+        tree[i] = self.heaps[room][0] if self.heaps[room] else self.NONE
+        while i > 1:
+            i >>= 1
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+    def add(self, room: int, cost: float, b: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, b))
+        self._renew(room)
+
+    def take(self, room: int) -> None:
+        heapq.heappop(self.heaps[room])
+        self._renew(room)
+
+    def cheapest(self, n: int) -> int:
+        """The sequence of least cost with room for n ids, -1 if there is none."""
+        if n >= len(self.heaps):
+            return -1
+        i = self.size + n
+        best = self.tree[i]
+        while i > 1:
+            if not i & 1:
+                best = min(best, self.tree[i + 1])
+            i >>= 1
+        return best[1]
+
+    def roomiest(self) -> int:
+        """The cheapest of the sequences with most room, -1 if none is open."""
+        if self.tree[1] == self.NONE:
+            return -1
+        i = 1
+        while i < self.size:
+            i = 2 * i + (self.tree[2 * i + 1] != self.NONE)
+        return self.tree[i][1]
+
+
 def pack(sizes: list[int], most: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Packs documents of the given sizes into full sequences of `most` ids.
 
@@ -54,46 +103,27 @@ def pack(sizes: list[int], most: int) -> tuple[list[list[tuple[int, int, int]]],
     bins = full - len(out)
     seqs: list[list[tuple[int, int, int]]] = [[] for _ in range(bins)]
     room, cost = [most] * bins, [0.0] * bins
-    cheap = [(0.0, b) for b in range(bins)]  # a heap; entries of an older cost are passed over
-    large = [(-most, b) for b in range(bins)]
+    opened = OpenSequences(most, bins)
 
     def put(piece: tuple[int, int, int], b: int) -> None:
+        opened.take(room[b])
         seqs[b].append(piece)
         room[b] -= piece[2]
         cost[b] += LINEAR * piece[2] + QUADRATIC * piece[2] ** 2
         if room[b]:
-            heapq.heappush(cheap, (cost[b], b))
-            heapq.heappush(large, (-room[b], b))
+            opened.add(room[b], cost[b], b)
 
     for d, start, n in todo:
-        tried, found = [], -1
-        while cheap and len(tried) < 8:
-            c, b = heapq.heappop(cheap)
-            if c != cost[b] or not room[b]:
-                continue
-            if room[b] >= n:
-                found = b
-                break
-            tried.append((c, b))
-        for t in tried:
-            heapq.heappush(cheap, t)
-        while found < 0 and n:  # none of the cheapest has room: fill those with most room
-            while large and (room[large[0][1]] != -large[0][0]):
-                heapq.heappop(large)
-            if not large:
-                break
-            b = large[0][1]
-            if room[b] >= n:
-                found = b
+        while n:
+            b = opened.cheapest(n)
+            if b < 0:  # none has room for all of it
+                b = opened.roomiest()
+            if b < 0:
+                rest.append((d, start, n))
                 break
-            heapq.heappop(large)
-            take = room[b]
+            take = min(n, room[b])
             put((d, start, take), b)
             start, n = start + take, n - take
-        if found >= 0:
-            put((d, start, n), found)
-        elif n:
-            rest.append((d, start, n))
     return out + seqs, rest
 
 

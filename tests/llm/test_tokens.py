@@ -119,3 +119,26 @@ def test_pack_balances_cost():
     assert all(sum(p[2] for p in s) == 2048 for s in seqs) and sum(p[2] for p in rest) < 2048
     assert sum(p[2] for s in seqs + [rest] for p in s) == sum(sizes)
     assert sorted(sum(p[2] for p in s) for s in powers_of_two([(0, 0, 700), (1, 0, 323)])) == [1, 2, 4, 8, 16, 32, 64, 128, 256, 512]
+
+
+def test_pack_takes_the_cheapest_sequence_with_room():
+    rnd = random.Random(5)
+    for most, sizes in [(2048, [min(2047, int(rnd.lognormvariate(5.2, 1.1)) + 1) for _ in range(1500)]), (64, [rnd.randint(1, 70) for _ in range(200)]), (8, [3, 3, 3, 3, 3, 3])]:
+        seqs, rest = pack(sizes, most)
+        todo = [(d, n // most * most, n % most) for d, n in enumerate(sizes) if n % most]
+        full = sum(sizes) // most
+        want = [[(d, k * most, most)] for d, n in enumerate(sizes) for k in range(n // most)]
+        open_, left = [[] for _ in range(full - len(want))], []
+        cost = lambda s: sum(n + n * n / 2048 for _, _, n in s)
+        room = lambda s: most - sum(n for _, _, n in s)
+        for d, start, n in sorted(todo, key=lambda p: (-p[2], p[0], p[1])):
+            while n:
+                fits = [s for s in open_ if room(s) >= n] or [s for s in open_ if room(s) and room(s) == max(map(room, open_))]
+                if not fits:
+                    left.append((d, start, n))
+                    break
+                s = min(fits, key=cost)
+                take = min(n, room(s))
+                s.append((d, start, take))
+                start, n = start + take, n - take
+        assert seqs == want + open_ and rest == left
