@@ -5,13 +5,13 @@
    by optimal densification (each probes bins in a fixed random order of its own
    until one is filled). Bands of ROWS bins give a document's buckets.
 2. Texts with equal sets collapse into one class, so copies are never paired.
-3. In every bucket all classes are paired with two centres only (a star), the
-   least and the largest; each pair is confirmed on the full sets.
-4. What no star has joined is compared across components within its buckets, so
-   a link that neither centre sees is still found: as pairs in buckets of at
-   most PAIR_BUCKET classes, else block by block, each task holding two blocks of
-   at most BLOCK classes and about BLOCK_BYTES of sets, comparing sketches first
-   and returning links only.
+3. A star: every class is paired with one centre only, the least class of all
+   its buckets, so there is at most one pair a class; each is confirmed on the
+   full sets. Components of these links close most buckets.
+4. In buckets that hold several components still, all classes are compared, so a
+   link that no centre sees is found: cell by cell, each of two blocks of at most
+   BLOCK classes and about BLOCK_BYTES of sets. A cell counts all intersections
+   exactly and returns only links that join components, never its pairs.
 
 At a Jaccard of exactly 0.8 a pair shares a band with probability above
 1 - 3e-6 (42 bands of 6); all links are confirmed exactly.
@@ -30,20 +30,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm.kernels import mix64, pair_hash, string_buffers, word_hashes
-from quarry.llm.storage import documents, keep, only
+from quarry.llm.storage import discard, documents, keep, only
 from quarry.llm.workers import tidy
 
 U64 = np.uint64
 BINS, ROWS = 252, 6
 #: Ids sent to all executors at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Largest bucket whose classes across components become rows of pairs, and classes in a block of a larger one.
-PAIR_BUCKET, BLOCK, BLOCK_BYTES = 32, 4096, 16 << 20
-#: How far under the threshold a sketch's estimate may lie before a pair is passed over: five standard deviations.
-SLACK = 0.126
+#: Copies of a table that is too large for that, in a join on keys that may be hot.
+SALTS = 16
+#: A key of more rows than this is hot, and of more than total / HOT_KEYS, so hot keys are HOT_KEYS at most.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+#: Pairs with one centre that are confirmed as one stream.
+CELL = 256
+#: Classes, and bytes of their sets, of a block of a bucket; items in a matrix at once.
+BLOCK, BLOCK_BYTES, SLICE = 1024, 8 << 20, 2048
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -112,8 +116,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                b = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 200):
+                b = batch.slice(lo, 200)
                 sets = shingle_sets(b.column(1), width)
                 bands = band_keys(sketches(sets))
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -131,14 +135,32 @@ def bounded_join(left: DataFrame, ids: DataFrame, on: str, how: str) -> DataFram
     return left.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
+    """Left join with one row a key at most; keys may be hot: few rows go to all executors, many are copied to SALTS places by a hash of column `by`."""
+    if right.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return left.join(F.broadcast(right), on, "left")
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"], "left").drop("__salt")
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: str, size: str, total: int) -> DataFrame:
+    """Inner join with `right`, whose column `size` counts the left rows of each key (total in all): keys of many rows go to all executors, at most total / limit of them."""
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = right.filter(F.col(size) > limit)
+    if not hot.limit(1).count():
+        return left.join(right, on)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.filter(F.col(size) <= limit), on)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, items): the full sets of the given nodes, made again from the texts of their first documents."""
     wanted = classes.join(nodes, "node").select("node", "rep", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                b = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 200):
+                b = batch.slice(lo, 200)
                 sets = shingle_sets(b.column(1), width)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "items"])
@@ -149,54 +171,118 @@ def set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int)
     return texts.mapInArrow(tidy(run), "key binary, items binary").dropDuplicates(["key"]).join(wanted.select("node", "key"), "key").select("node", "items")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of which 100 * intersection >= percent * union holds on the full sets."""
+    """The pairs (a, b) that are similar on the full sets.
+
+    Each a comes with its set once; b's set comes once for every CELL pairs of
+    b, which are one cell, read as a stream that begins with b.
+    """
+    pairs = pairs.join(pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")), "b")
+    placed = pairs.select("b", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int").alias("cell"), "a")
+    heads = placed.select("b", "cell").distinct().select("b", "cell", F.lit(0).alias("rank"), F.col("b").alias("node"))
+    rows = heads.unionByName(placed.select("b", "cell", F.lit(1).alias("rank"), F.col("a").alias("node"))).join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: tuple[int, np.ndarray] | None = None
+        for batch in batches:
+            out: tuple[list[int], list[int]] = ([], [])
+            for b, rank, node, items in zip(*(batch.column(k) for k in range(4))):
+                items = np.frombuffer(items.as_buffer(), U64)
+                if not rank.as_py():
+                    head = (b.as_py(), items.copy())
+                elif head is not None and similar(head[1], items, percent):
+                    out[0].append(node.as_py())
+                    out[1].append(head[0])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    dealt = rows.repartition("b", "cell").sortWithinPartitions("b", "cell", "rank").select("b", "rank", "node", "items")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, exact.
+
+    Items in many sets are counted by products of 0/1 matrices, SLICE items at a
+    time, items in few by their pairs.
+    """
+    nl, nr = len(left), len(right)
+    sizes = [len(x) for x in (*left, *right)]
+    at = np.repeat(np.arange(nl + nr), sizes)
+    _, item = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    ln, rn = (np.bincount(item[side], minlength=int(item.max()) + 1 if len(item) else 0) for side in (at < nl, at >= nl))
+    out = np.zeros((nl, nr), np.int32)
+    pairs = ln * rn
+    order = np.argsort(item, kind="stable")
+    item, at = item[order], at[order]
+    for many in (True, False):
+        wanted = (pairs > 16) if many else (pairs > 0) & (pairs <= 16)
+        use = wanted[item]
+        code = (np.cumsum(wanted) - 1)[item[use]]
+        who = at[use]
+        if many:
+            for lo in range(0, int(wanted.sum()), SLICE):
+                a, b = np.searchsorted(code, [lo, lo + SLICE])
+                m = np.zeros((nl + nr, SLICE), np.float32)
+                m[who[a:b], code[a:b] - lo] = 1
+                out += (m[:nl] @ m[nl:].T).astype(np.int32)
+        elif len(code):
+            # codes are sorted, and within a code the left sets stand before the right ones
+            l_at, r_at = np.flatnonzero(who < nl), np.flatnonzero(who >= nl)
+            each = rn[wanted][code[l_at]]
+            first = np.searchsorted(code[r_at], code[l_at])
+            j = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            np.add.at(out, (np.repeat(who[l_at], each), who[r_at[j]] - nl), 1)
+    return out
+
+
+def cell_links(nodes: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) between the sets at `left` and `right` that join components apart until then; every set is compared."""
+    both = overlaps([sets[i] for i in left], [sets[j] for j in right]).astype(np.int64)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    close = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+    close &= comps[left][:, None] != comps[right][None, :]
+    comps, out = comps.copy(), []
+    for i, j in zip(*np.nonzero(close)):
+        i, j = left[i], right[j]
+        if comps[i] != comps[j]:
+            out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
+            comps[comps == comps[j]] = comps[i]
+    return out
+
+
+def compare_cells(percent: int):
+    """Function of batches sorted by (band, lo, hi): the links of each such cell, between its chunks lo and hi or within lo."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> list[tuple[int, int]]:
+            nodes, comps, chunk = (np.array([r[k] for r in held], np.int64) for k in range(3))
+            if len(held) < 2 or (comps == comps[0]).all():
+                return []
+            sets = [np.frombuffer(r[3], U64) for r in held]
+            return cell_links(nodes, comps, sets, np.flatnonzero(chunk == now[1]), np.flatnonzero(chunk == now[2]), percent)
+
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    out.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
-
-
-def compare_blocks(percent: int):
-    """Function of a group (band, lo, hi): its links (a, b) across components between blocks lo and hi, or within lo."""
-
-    def run(t: pa.Table) -> pa.Table:
-        nodes, comps = (t.column(n).to_numpy() for n in ("node", "comp"))
-        keys = np.stack(t.column("bands").to_numpy(zero_copy_only=False))
-        sets = [np.frombuffer(x.as_buffer(), U64) for x in t.column("items")]
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        sketch = (np.concatenate([sketches(sets[k : k + 500]) for k in range(0, len(sets), 500)]) >> U64(16)).astype(np.uint32)
-        band, lo, hi = (t.column(n)[0].as_py() for n in ("band", "lo", "hi"))
-        at = int(np.flatnonzero(keys[0] == band)[0])
-        chunk = t.column("chunk").to_numpy()
-        left, right = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
-        comps, out = comps.copy(), ([], [])
-        for i in left:
-            js = right[right > i] if lo == hi else right
-            js = js[(comps[js] != comps[i]) & (100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i]))]
-            js = js[~(keys[js, :at] == keys[i, :at]).any(1)]  # pairs that share an earlier band meet there
-            js = js[(sketch[js] == sketch[i]).mean(1) >= percent / 100 - SLACK]
-            for j in js:
-                if comps[j] == comps[i]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                    out[0].append(min(nodes[i], nodes[j]))
-                    out[1].append(max(nodes[i], nodes[j]))
-                    comps[comps == comps[j]] = comps[i]
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+            out: list[tuple[int, int]] = []
+            for cell, row in zip(zip(*(batch.column(k).to_pylist() for k in range(3))), zip(*(batch.column(k).to_pylist() for k in range(3, 7)))):
+                if cell != now:
+                    if held:
+                        out += done()
+                    now, held = cell, []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        if held:
+            out = done()
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -205,15 +291,29 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp): the least node reachable, for every node of the links (a, b).
 
     Each round takes the least label among neighbours and then the label of that
-    label, so chains of length n take about log n rounds.
+    label, so chains of length n take about log n rounds. Labels of nodes with
+    many links go to all executors: HOT_KEYS of them at most.
     """
-    edges = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    edges = keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    degrees = edges.groupBy("b").agg(F.count("*").alias("links"))
+    total = edges.count()
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = keep(degrees.filter(F.col("links") > limit).select("b"), "hubs")
+    some = hot.limit(1).count() > 0
+    calm = keep(edges.join(F.broadcast(hot), "b", "left_anti"), "edges") if some else edges
+    busy = keep(edges.join(F.broadcast(hot), "b"), "edges") if some else None
     labels = keep(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
     while True:
-        seen = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        of = labels.select(F.col("node").alias("b"), "comp")
+        seen = calm.join(of, "b").select("a", "comp")
+        if busy is not None:
+            seen = seen.union(busy.join(F.broadcast(of.join(F.broadcast(hot), "b")), "b").select("a", "comp"))
+        seen = seen.groupBy("a").agg(F.min("comp").alias("near"))
         near = labels.join(seen, labels.node == seen.a).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = keep(near.join(jump, "comp").select("node", "old", F.least("comp", "far").alias("comp")), "labels")
+        jump = labels.filter("node <> comp").select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+        jump = jump.join(labels.select("comp").distinct(), "comp", "left_semi")
+        new = keep(spread_join(near, jump, "comp", "node").select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
+        discard(labels)
         if not new.filter("old <> comp").limit(1).count():
             return new.select("node", "comp")
         labels = new.select("node", "comp")
@@ -222,38 +322,39 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of documents (doc_id, text)."""
     sigs = keep(signatures(docs, width), "signatures")
-    firsts = sigs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("items_n"))
+    firsts = sigs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("items_n"), F.count("*").alias("copies"))
     classes = keep(firsts.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", "items_n", F.explode("bands").alias("band"))
-    stars = keep(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1").select("band", "low", "high"), "stars")
-    members = keep(banded.join(stars, "band"), "members")
-    centre: Column = F.explode(F.array("low", "high"))
-    pairs = keep(members.select(F.col("node").alias("a"), centre.alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = keep(set_table(docs, classes, nodes, width), "sets")
-    links = keep(confirm(pairs, sets, percent), "links")
-    comps = components(links)
+    total = classes.count() * (BINS // ROWS)
+    buckets = keep(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.sum("items_n").alias("all_items")).filter("n > 1"), "buckets")
+    members = keep(sized_join(banded, buckets, "band", "n", total), "members")
+    # a star: every class meets one centre only, the least class of all its buckets
+    pairs = keep(members.groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b")).filter("a <> b"), "pairs")
+    sets = keep(set_table(docs, classes, members.select("node").distinct(), width), "sets")
+    comps = components(keep(confirm(pairs, sets, percent), "links"))
     # buckets that hold several components still
-    placed = members.select("node", "items_n", "band").join(comps, "node", "left").select("band", "node", "items_n", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum("items_n").alias("all_items")).filter("x <> y").select("band", "n", "all_items")
-    open_ = keep(placed.join(mixed, "band"), "open")
-    few = open_.filter(F.col("n") <= PAIR_BUCKET)
-    left, right = (few.select("band", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "ab")
-    across = left.join(right, "band").filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
-    late = confirm(across.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+    placed = keep(spread_join(members, comps, "node", "band").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).filter("x <> y").select("band", "m")
+    open_ = sized_join(placed, mixed, "band", "m", total)
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, 8 * F.col("all_items") / BLOCK_BYTES)).cast("int")
-    many = open_.filter(F.col("n") > PAIR_BUCKET).withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    many = many.select("band", "node", "comp", "chunk", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    many = many.select("band", "node", "comp", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    many = many.join(classes.select("node", "bands"), "node").join(sets, "node")
-    late = keep(late.unionByName(many.groupBy("band", "lo", "hi").applyInArrow(compare_blocks(percent), "a long, b long")).distinct(), "late")
-    if late.limit(1).count():
-        comps = components(links.union(late))
-    named = classes.join(comps, "node", "left").select("key", "rep", F.coalesce("comp", "node").alias("comp"))
-    ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(ids, "comp").select("key", "component_id")
-    out = sigs.drop("bands").join(of_class, "key", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    cells = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    cells = cells.select("band", "node", "comp", "chunk", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    cells = cells.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "comp", "chunk").join(sets, "node")
+    cells = cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "node", "comp", "chunk", "items")
+    late = keep(cells.mapInArrow(tidy(compare_cells(percent)), "a long, b long").distinct(), "late")
+    if late.limit(1).count():  # links between components, of which the first round's are the nodes now
+        of = lambda n: comps.select(F.col("node").alias(n), F.col("comp").alias(f"of_{n}"))
+        named = spread_join(spread_join(late, of("a"), "a", "b"), of("b"), "b", "a")
+        across = keep(named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct(), "across")
+        last = components(across)
+        before = comps.unionByName(last.select("node").join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp")))
+        comps = keep(spread_join(before, last.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "node").select("node", F.coalesce("last", "comp").alias("comp")), "components")
+    reps = comps.join(classes.select("node", "rep"), "node")
+    ids = keep(reps.groupBy("comp").agg(F.min("rep").alias("component_id")), "component-ids")
+    named = keep(spread_join(comps, ids, "comp", "node").select("node", "component_id"), "component-of")
+    of_class = keep(classes.select("node", "key", "rep", "copies").join(named, "node", "left").select("key", "copies", F.coalesce("component_id", "rep").alias("component_id")), "classes-named")
+    out = sized_join(sigs.filter("key is not null").drop("bands"), of_class, "key", "copies", total)
+    out = out.select("doc_id", "n_shingles", "component_id").unionByName(sigs.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

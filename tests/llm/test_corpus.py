@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quarry.llm import neardup
@@ -83,10 +84,14 @@ def brute(rows, width, percent):
     return sorted(out)
 
 
-@pytest.mark.parametrize("width,pairs,block", [(2, 32, 512), (5, 32, 512), (2, 2, 5)])
-def test_near_duplicates(spark, monkeypatch, width, pairs, block):
-    monkeypatch.setattr(neardup, "PAIR_BUCKET", pairs)
-    monkeypatch.setattr(neardup, "BLOCK", block)
+#: As they are, and so small that every other path is taken: blocks, cells, hot keys, salted joins.
+USUAL, SMALL = {}, {"BLOCK": 5, "CELL": 2, "HOT_ROWS": 2, "HOT_KEYS": 1 << 40, "BROADCAST_IDS": 1}
+
+
+@pytest.mark.parametrize("width,limits", [(2, USUAL), (5, USUAL), (2, SMALL)])
+def test_near_duplicates(spark, monkeypatch, width, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(neardup, name, value)
     rnd = random.Random(width)
     vocab = [f"w{i}" for i in range(300)]
     rows = []
@@ -105,6 +110,13 @@ def test_near_duplicates(spark, monkeypatch, width, pairs, block):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute(rows, width, 80)
 
 
+def test_overlaps():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 60 if k % 2 else 3000, 80).astype(np.uint64)) for k in range(50)] + [np.zeros(0, np.uint64)]
+    left, right = sets[:20], sets[20:]
+    assert neardup.overlaps(left, right).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(table(spark, []), 2).count() == 0
     assert [tuple(r) for r in near_duplicates(table(spark, [(5, None)]), 2).collect()] == [(5, 0, 5, True)]
