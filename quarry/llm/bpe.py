@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.kernels import spread
 from quarry.llm.pieces import PieceEncoder
 from quarry.llm.storage import documents, only
+from quarry.llm.workers import tidy
 
 #: Pieces of more bytes than this are merged with a heap instead of a scan for the least rank; the ids are the same.
 SCAN_BYTES = 64
@@ -137,7 +138,7 @@ def encode_table(docs: DataFrame, path: str) -> DataFrame:
             ids, first = c.encoder.encode(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return only(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_table(rows: DataFrame, path: str) -> DataFrame:
@@ -149,7 +150,7 @@ def decode_table(rows: DataFrame, path: str) -> DataFrame:
             out = [c.decode(np.asarray(x or [], np.int64)).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "text"])
 
-    return only(rows, "doc_id", "ids").mapInArrow(run, "doc_id long, text binary")
+    return only(rows, "doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text binary")
 
 
 def round_trips(docs: DataFrame, path: str) -> DataFrame:
@@ -167,7 +168,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
                 cols[2].append(hashlib.sha256(c.decode(x)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return only(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

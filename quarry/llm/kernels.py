@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that a byte-level kernel handles at once; its temporary arrays take about 40 times this.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -76,7 +76,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(19, int(n).bit_length())
     return _powers(base, size)[:n]
 
 

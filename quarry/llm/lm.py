@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm.kernels import mix64, pair_hash, string_buffers, word_hashes
 from quarry.llm.storage import documents, keep, only, parts_for
+from quarry.llm.workers import tidy
 
 U64 = np.uint64
 BACKOFF = 0.4
@@ -161,7 +162,7 @@ def scores(docs: DataFrame, min_count: int = 1, leave_one_out: bool = True) -> D
         doc_ids = pa.array(ids.astype(np.int64), mask=null.astype(bool))
         return pa.table([doc_ids, pa.array(words.astype(np.int64)), pa.array(out[2].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[0])], ["doc_id", "n_words", "n_backoff", "n_single", "raw"])
 
-    asked = only(docs, "doc_id", "text").mapInArrow(ask, "key long, block long, part int, blob binary")
+    asked = only(docs, "doc_id", "text").mapInArrow(tidy(ask), "key long, block long, part int, blob binary")
     told = asked.groupBy("key").applyInArrow(answer, "block long, part int, blob binary")
     raw = keep(told.groupBy("block").applyInArrow(score, "doc_id long, n_words long, n_backoff long, n_single long, raw double"), "lm")
     total = raw.agg(F.sum("n_words")).first()[0] or 1

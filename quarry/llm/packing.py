@@ -23,15 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.pieces import library_encoder
+from quarry.llm.pieces import PIECE_CHUNK, library_encoder
 from quarry.llm.storage import documents, only
 from quarry.llm.workers import tidy
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Ids packed together: the open sequences of a pool are this many / the sequence's length.
 POOL_TOKENS = 1 << 20
-#: Bytes of text encoded at once; working memory is some fifty times as much.
-TEXT_CHUNK = 1 << 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -182,7 +180,7 @@ def packed(docs: DataFrame, path: str, most: int = 2048, end_id: int = 1, pool_t
 
         for b in batches:
             doc_ids = iter(b.column(0).to_pylist())
-            for ids, sizes in enc.encode_parts(b.column(1), TEXT_CHUNK):
+            for ids, sizes in enc.encode_parts(b.column(1), PIECE_CHUNK):
                 for x in np.split(ids, np.cumsum(sizes)[:-1]):
                     x = np.append(x, np.uint32(end_id))
                     held.append((next(doc_ids), x, 0, len(x)))

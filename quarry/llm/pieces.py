@@ -2,57 +2,51 @@
 
 Byte-level tokenizers handle every match of their pattern alone, so a batch is
 cut into pieces, each distinct piece is encoded once, and ids are gathered by
-piece. Texts with characters on which Unicode tables may differ are encoded
-whole by the library.
+piece. Texts with characters on which Unicode tables may differ, or with the
+content of an added token of the vocabulary, are encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from quarry.llm.kernels import spread, split_pieces, string_buffers, text_chunks
 
-#: Distinct pieces a worker remembers; beyond it the memory starts anew, which changes no result.
-MEMO_PIECES = 1_500_000
+#: Bytes of pieces and ids that a worker remembers; beyond it the memory starts anew, which changes no result.
+MEMO_BYTES = 8 << 20
 #: Longest piece that is remembered, in bytes.
-MEMO_BYTES = 64
-#: Bytes of text cut into pieces at once.
-PIECE_CHUNK = 1 << 23
+MEMO_PIECE = 64
+#: Bytes of text cut into pieces at once; working memory is some fifty times as much.
+PIECE_CHUNK = 1 << 19
 
 
 class PieceEncoder:
-    """Encodes batches with `encode_pieces` (distinct pieces) and `encode_text` (odd texts)."""
+    """Encodes batches with `encode_pieces` (distinct pieces) and `encode_text` (odd texts, and texts that hold any of `whole`)."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]], encode_text: Callable[[str], list[int]]):
-        self.encode_pieces, self.encode_text = encode_pieces, encode_text
+    def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]], encode_text: Callable[[str], list[int]], whole: list[bytes] = ()):
+        self.encode_pieces, self.encode_text, self.whole = encode_pieces, encode_text, whole
         self.forget()
 
     def forget(self) -> None:
-        self.known = pa.array([], pa.string())
-        self.slots = np.zeros(0, np.int64)
-        self.sizes = np.zeros(1024, np.int64)
-        self.begins = np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.uint32)
-        self.n, self.used = 0, 0
-
-    def _learn(self, pieces: list[str]) -> np.ndarray:
-        lists = self.encode_pieces(pieces)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        more = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-        while self.n + len(lists) > len(self.sizes):
-            self.sizes, self.begins = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.begins, np.zeros_like(self.begins)])
-        while self.used + len(more) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.sizes[self.n : self.n + len(lists)] = sizes
-        self.begins[self.n : self.n + len(lists)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + len(more)] = more
-        self.n += len(lists)
-        self.used += len(more)
-        return np.arange(self.n - len(lists), self.n)
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.used = 0
+
+    def _ids_of(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Ids of distinct pieces, from memory or made now."""
+        if self.used > MEMO_BYTES:
+            self.forget()
+        out = list(map(self.memo.get, pieces))
+        missing = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(missing, self.encode_pieces([pieces[k] for k in missing]) if missing else ()):
+            out[k] = tuple(ids)
+            if len(pieces[k]) <= MEMO_PIECE:
+                self.memo[pieces[k]] = out[k]
+                self.used += 64 + len(pieces[k]) + 8 * len(ids)
+        return out
 
     def encode_parts(self, column: pa.Array | pa.ChunkedArray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, ids of each text) for runs of texts of about `chunk` bytes, so that neither working memory nor ids grow with the batch."""
@@ -76,7 +70,8 @@ class PieceEncoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         starts, odd = split_pieces(data, offsets)
-        if odd.any():  # rare: the library takes these texts whole, the rest go on without them
+        odd |= self._holding(data, offsets)
+        if odd.any():  # few: the library takes these texts whole, the rest go on without them
             keep = np.repeat(~odd, np.diff(offsets))
             sizes = np.where(odd, 0, np.diff(offsets))
             ids, n = self._chunk(data[keep], np.concatenate([[0], np.cumsum(sizes)]))
@@ -87,27 +82,27 @@ class PieceEncoder:
         at = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pieces.dictionary_encode()
-        words = coded.dictionary
-        if self.n + len(words) > MEMO_PIECES:
-            self.forget()
-        slots = np.zeros(len(words), np.int64)
-        found = pc.index_in(words, value_set=self.known)
-        missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
-        if len(self.known):
-            slots = self.slots[found.fill_null(0).to_numpy()]
-        if len(missing):
-            fresh = words.take(pa.array(missing))
-            slots[missing] = self._learn(fresh.to_pylist())
-            keep = pc.less_equal(pc.binary_length(fresh), MEMO_BYTES)
-            self.known = pa.concat_arrays([self.known, fresh.filter(keep)])
-            self.slots = np.concatenate([self.slots, slots[missing][keep.to_numpy(zero_copy_only=False)]])
-        codes = slots[coded.indices.to_numpy()]
-        ids = self.flat[spread(codes, self.sizes, self.begins)]
-        per = self.sizes[codes]
-        total = np.concatenate([[0], np.cumsum(per)])
+        lists = self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        codes = coded.indices.to_numpy()
+        ids = flat[spread(codes, sizes, np.cumsum(sizes) - sizes)]
+        total = np.concatenate([[0], np.cumsum(sizes[codes])])
         n = np.diff(total[np.searchsorted(starts, offsets)])
         return ids, n
 
+    def _holding(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts hold one of the byte strings that only the whole text's encoder knows."""
+        out = np.zeros(len(offsets) - 1, bool)
+        raw = data.tobytes() if self.whole else b""
+        for x in self.whole:
+            at = raw.find(x)
+            while at >= 0:
+                k = int(np.searchsorted(offsets, at, "right")) - 1
+                out[k] |= at + len(x) <= offsets[k + 1]
+                at = raw.find(x, at + 1)
+        return out
+
 
 _LIBRARY: dict[str, PieceEncoder] = {}
 
@@ -121,9 +116,9 @@ def library_encoder(path: str) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         _LIBRARY[path] = PieceEncoder(
             lambda pieces: [e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False)],
             lambda text: tok.encode(text, add_special_tokens=False).ids,
+            [t.content.encode() for t in tok.get_added_tokens_decoder().values() if t.content],
         )
     return _LIBRARY[path]
