@@ -22,7 +22,7 @@ SCHEMA = "doc_id long, text string, start string, ids string"
 def rows():
     rnd = random.Random(7)
     texts = ["".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
-    texts += [None, "", "a" * 5000, "word " * 3000, "x", "The same text.", "The same text."]
+    texts += [None, "", "a" * 5000, "word " * 3000, "x", "a <|endoftext|> b<|endoftext|", "<|endoftext|>", "The same text.", "The same text."]
     out = [(i * 3 + 1, t, "extra", "clash") for i, t in enumerate(texts)]
     return out + [(None, "no id", "e", "c"), (4, "twice the id", "e", "c")]
 
@@ -32,7 +32,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -67,6 +66,13 @@ def test_wavelet_queries():
     for i in (0, 511, 512, 513, 1999, 2399):
         assert w.access(i) == x[i] and w.rank(5, i) == (x[:i] == 5).sum()
     assert [w.select(9, k) for k in (0, 7, 299)] == np.flatnonzero(x == 9)[[0, 7, 299]].tolist()
+    y = np.random.default_rng(1).zipf(1.3, 150_000).clip(1, 60_000).astype(np.uint32)
+    v = WaveletMatrix.from_bytes(WaveletMatrix.build(y).to_bytes())
+    assert (v.tokens() == y).all() and all(v.access(i) == y[i] for i in range(0, len(y), 4999))
+    for token in (1, 2, 77):
+        at = np.flatnonzero(y == token)
+        assert v.count(token) == len(at) and [v.select(token, k) for k in range(0, len(at), 997)] == at[::997].tolist()
+        assert all(v.rank(token, i) == (y[:i] == token).sum() for i in (0, 511, 512, 65536, 149_999, 150_000))
     with pytest.raises(IndexError):
         w.select(9, 300)
     for y in ([], [3], [3, 3, 3]):
