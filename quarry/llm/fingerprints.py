@@ -2,20 +2,24 @@
 
 A text is a row of units. A k-mer of units is an anchor if the least of the
 hashes of its inner s-mers is the first or the last: that depends on the k-mer
-alone, so an edit moves no anchor that it doesn't touch. Anchors with their
-positions serve positional matching; the fingerprint keeps the SKETCH least
-hashes of a text's distinct anchors, from which likeness is the share of both in
-the least of their union (the Jaccard of the anchor sets; exact for small sets).
-
-Units are words, cut at 16 characters, for texts of LONG characters or more, and
-characters for texts of SHORT or fewer; between the two a text has both, so that
-a text and its edit, which is at least half as long, always share a kind.
+alone, so an edit moves no anchor that it doesn't touch. `anchors` gives them
+with their positions, for positional matching. The fingerprint keeps the SKETCH
+least hashes of a text's distinct anchors, from which likeness is the share of
+both in the least of their union (the Jaccard of the anchor sets; exact for small
+sets). Likeness takes no positions: an insertion moves all that follow it.
+
+Where units end depends on characters alone, never on offsets: a character of a
+script written without blanks is a unit; other characters form runs that end
+before white space or such a character, or after one of CUTS. CUTS are seldom in
+words and often in encoded or minified runs, which so fall into short units. Each
+text has MARGIN empty units before and after it, so that texts of few units have
+anchors too and compare with long ones.
 
 Defined cases: a null text is empty, has no anchor and is like an empty text only
-(1.0); a text too short for a k-mer is one anchor; equal texts have equal
+(1.0); a text of white space alone is one anchor; equal texts have equal
 fingerprints and likeness 1; rows that share a doc_id are ordered by their text;
 null doc_ids come last; a single document is its own next; an empty table gives
-no row; extra columns are ignored.
+no row; extra columns are ignored. A long run of one character is one unit.
 """
 
 from __future__ import annotations
@@ -27,9 +31,13 @@ from quarry.llm.storage import documents, only, parts_for
 from quarry.llm.wavelet import id_ranges
 
 SKETCH = 128
-LONG, SHORT = 128, 512
-WORD_K, WORD_S = 5, 2
-CHAR_K, CHAR_S = 8, 5
+K, S = 5, 2
+MARGIN = K - 1
+#: Letters, digits and signs after which a run of characters is cut.
+CUTS = r"zQX7;,.(){}=&/"
+#: Thai to Myanmar, Khmer, and all from the CJK radicals on.
+ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uFFFF\x{10000}-\x{10FFFF}"
+UNIT = rf"[{ALONE}]|[^\x20\x09-\x0D{ALONE}{CUTS}]++[{CUTS}]?|[{CUTS}]"
 #: Input bytes for each range of doc_ids.
 RANGE_BYTES = 4 << 20
 
@@ -46,63 +54,41 @@ def _closed(s: Column, hash_at, window: int) -> Column:
     return F.transform(found, lambda i: F.struct(i.alias("position"), hash_at(i).alias("hash")))
 
 
-def word_anchors(text: Column) -> Column:
-    def of(h: Column) -> Column:
-        smers = F.transform(F.sequence(F.lit(1), F.size(h) - WORD_S + 1), lambda i: F.xxhash64(F.element_at(h, i), F.element_at(h, i + 1)))
-        anchors = let(smers, lambda s: _closed(s, lambda i: F.xxhash64(F.slice(h, i, F.lit(WORD_K))), WORD_K - WORD_S + 1))
-        return F.when(F.size(h) >= WORD_K, anchors).otherwise(F.array(F.struct(F.lit(1).alias("position"), F.xxhash64(text).alias("hash"))))
-
-    units = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,16}"), F.lit(0))
-    return let(F.transform(units, lambda w: F.xxhash64(w)), of)
-
-
-def char_anchors(text: Column) -> Column:
-    n = F.length(text)
-    smers = F.transform(F.sequence(F.lit(1), n - CHAR_S + 1), lambda i: F.xxhash64(F.substring(text, i, F.lit(CHAR_S))))
-    anchors = let(smers, lambda s: _closed(s, lambda i: F.xxhash64(F.substring(text, i, F.lit(CHAR_K))), CHAR_K - CHAR_S + 1))
-    return F.when(n >= CHAR_K, anchors).otherwise(F.array(F.struct(F.lit(1).alias("position"), F.xxhash64(text).alias("hash"))))
+def text_anchors(text: Column) -> Column:
+    """Anchors of a text as array<struct<position, hash>>; positions count units from 1, those before 1 begin in the margin."""
 
+    def of(h: Column) -> Column:
+        smers = F.transform(F.sequence(F.lit(1), F.size(h) - S + 1), lambda i: F.xxhash64(F.element_at(h, i), F.element_at(h, i + 1)))
+        anchors = let(smers, lambda s: _closed(s, lambda i: F.xxhash64(F.slice(h, i, F.lit(K))), K - S + 1))
+        return F.when(F.size(h) > 2 * MARGIN, anchors).otherwise(F.array(F.struct(F.lit(1).alias("position"), F.xxhash64(text).alias("hash"))))
 
-def _sketch(anchors: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda a: F.shiftrightunsigned(a["hash"], 32)))), 1, SKETCH)
+    empty = F.array_repeat(F.lit(0).cast("long"), MARGIN)
+    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+    return let(F.concat(empty, F.transform(units, lambda w: F.xxhash64(w)), empty), of)
 
 
 def fingerprint(text: Column) -> Column:
-    """struct<words, chars>: sketches of a text's anchors; null where the text has no such units."""
-
-    def of(t: Column) -> Column:
-        n = F.length(t)
-        return F.struct(F.when(n >= LONG, _sketch(word_anchors(t))).alias("words"), F.when((n > 0) & (n <= SHORT), _sketch(char_anchors(t))).alias("chars"))
-
-    return let(text, of)
+    """Sketch of a text's anchors, its SKETCH least hashes of 32 bits; null for an empty text."""
+    sketch = lambda t: F.slice(F.sort_array(F.array_distinct(F.transform(text_anchors(t), lambda a: F.shiftrightunsigned(a["hash"], 32)))), 1, SKETCH)
+    return let(text, lambda t: F.when(F.length(t) > 0, sketch(t)))
 
 
 def printed(fp: Column) -> Column:
-    part = lambda x: F.coalesce(F.array_join(F.transform(x, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), ""), F.lit(""))
-    return F.concat(part(fp["words"]), F.lit(":"), part(fp["chars"]))
+    return F.coalesce(F.array_join(F.transform(fp, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), ""), F.lit(""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard estimate of two fingerprints, on characters if both have them, else on words; 0 if they share no units."""
-
-    def of(x: Column, y: Column) -> Column:
-        least = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
-        return let(least, lambda u: F.size(F.array_intersect(F.array_intersect(u, x), y)) / F.size(u))
-
-    return (
-        F.when(F.coalesce(a["words"], a["chars"]).isNull() | F.coalesce(b["words"], b["chars"]).isNull(), F.when(F.coalesce(a["words"], a["chars"], b["words"], b["chars"]).isNull(), 1.0).otherwise(0.0))
-        .when(a["chars"].isNotNull() & b["chars"].isNotNull(), of(a["chars"], b["chars"]))
-        .when(a["words"].isNotNull() & b["words"].isNotNull(), of(a["words"], b["words"]))
-        .otherwise(0.0)
-    )
+    """Jaccard estimate of two fingerprints; 1 if both texts are empty, 0 if one is."""
+    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+    both = let(least, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(both)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, position, hash): all closed syncmers of every text."""
+    """(doc_id, position, hash): all closed syncmers of every text."""
     text = F.coalesce("text", F.lit(""))
-    kinds = F.array(F.struct(F.lit("word").alias("unit"), F.when(F.length(text) >= LONG, word_anchors(text)).alias("a")), F.struct(F.lit("char").alias("unit"), F.when((F.length(text) > 0) & (F.length(text) <= SHORT), char_anchors(text)).alias("a")))
-    rows = only(docs, "doc_id", "text").select("doc_id", F.explode(kinds).alias("k")).select("doc_id", "k.unit", F.explode("k.a").alias("a"))
-    return rows.select("doc_id", "unit", "a.position", "a.hash")
+    rows = only(docs, "doc_id", "text").select("doc_id", F.explode(F.when(F.length(text) > 0, text_anchors(text))).alias("a"))
+    return rows.select("doc_id", (F.col("a.position") - MARGIN).alias("position"), "a.hash")
 
 
 def range_of(doc_id: Column, bounds: list[int]) -> Column:
