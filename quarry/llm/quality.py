@@ -1,15 +1,19 @@
 """Operator 8: quality rules with thresholds that follow the data.
 
-Every text gets its counts. Ratios that are high in bad text are sketched per
-language and source: a sketch counts values in buckets of a fixed ratio, so
-sketches add up exactly in any order and a quantile is right within that ratio.
-A group of fewer than MIN_GROUP documents uses its language's sketch, or all.
-Thresholds, the upper quartile plus FENCE interquartile distances and at least
-a floor, are joined to the documents, which fail above any of them.
+Every text gets its counts and from them METRICS, ratios that are high in bad
+text. Of the documents that pass the base rules, the values above zero are
+sketched per language and source: a sketch counts values in buckets of a fixed
+ratio, so sketches add up exactly in any order and a quantile is right within
+that ratio. A sketch's own threshold is the upper quartile plus FENCE
+interquartile distances (a distance narrower than NARROW of the quartile counts
+as that); nothing is a fixed cutoff. A language's threshold is the mean of its
+own, weighted by its documents, and that of all, weighted by PRIOR documents,
+and a source's within its language likewise, so small groups lean on larger ones
+without a switch. Thresholds are joined to the documents, which fail above any.
 
 Defined cases: a null text has no words and fails; null language or source is a
-group of its own; repeated rows count each; an empty table gives no row; extra
-columns are ignored.
+group of its own; repeated rows count each; a metric that is zero everywhere
+has no threshold; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ WINDOW = 8
 #: Ratio of neighbouring sketch buckets, in logarithms: values are right within 2 %.
 STEP = 0.02
 SMALLEST = 1e-4
-MIN_GROUP = 200
-FENCE = 3.0
-#: No threshold is lower than this, however even a group's texts are.
-FLOORS = {"symbols": 0.06, "shouting": 0.15, "repeats": 0.25, "dup_lines": 0.4, "word_length": 8.0}
+#: Documents that the larger group's threshold counts as.
+PRIOR = 200
+FENCE, NARROW = 6.0, 0.05
+METRICS = ("nonletters", "shouting", "repeats", "dup_lines", "word_length", "word_shortness")
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -71,22 +75,23 @@ def counted(docs: DataFrame, *names: str, whole: bool = False) -> DataFrame:
         wide.alias("w"),
         F.when(text.rlike(r"[#*$%&|<>]"), F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).otherwise(0).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"),
+        F.length(F.regexp_replace(text, r"[\p{L}\s]+", "")).cast("long").alias("nonletters_n"),
         F.when(text.rlike("[A-Z]{2}"), F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).otherwise(0).cast("long").alias("capitals"),
     )
     # no filter on the counts moves below the explode, which would work them out once for each use
     rows = source.select(*names, *own, F.explode(F.array(counts)).alias("__c"))
-    return rows.select(*names, *(f"`__{n}`" for n in (docs.columns if whole else [])), "__c.w.*", "__c.n_symbols", F.col("__c.l.dup").cast("long").alias("n_dup_lines"), F.col("__c.l.n").alias("n_lines"), "__c.capitals")
+    return rows.select(*names, *(f"`__{n}`" for n in (docs.columns if whole else [])), "__c.w.*", "__c.n_symbols", "__c.nonletters_n", F.col("__c.l.dup").cast("long").alias("n_dup_lines"), F.col("__c.l.n").alias("n_lines"), "__c.capitals")
 
 
 def metrics() -> dict[str, Column]:
+    """A column for each of METRICS."""
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return {
-        "symbols": over("n_symbols", "word_chars"),
-        "shouting": over("capitals", "word_chars"),
-        "repeats": over("n_repeat_words", "n_words"),
-        "dup_lines": over("n_dup_lines", "n_lines"),
-        "word_length": over("word_chars", "n_words"),
-    }
+    pairs = (("nonletters_n", "word_chars"), ("capitals", "word_chars"), ("n_repeat_words", "n_words"), ("n_dup_lines", "n_lines"), ("word_chars", "n_words"), ("n_words", "word_chars"))
+    return {name: over(*p) for name, p in zip(METRICS, pairs)}
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 def bucket(x: Column) -> Column:
@@ -98,8 +103,10 @@ def value_of(b: Column) -> Column:
 
 
 def sketch(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """Mergeable quantile sketches: (groups, metric, bucket, n)."""
-    pairs = F.array(*(F.struct(F.lit(name).alias("metric"), bucket(F.col(name)).alias("bucket")) for name in FLOORS))
+    """Mergeable quantile sketches: (groups, metric, bucket, n); every group has a row of metric "" for its documents."""
+    values = F.filter(F.array(*(F.struct(F.lit(name).alias("metric"), bucket(F.col(name)).alias("bucket")) for name in METRICS)), lambda p: p["bucket"] > 0)
+    every = F.array(F.struct(F.lit("").alias("metric"), F.lit(0).alias("bucket")))
+    pairs = F.concat(every, F.when(base_failed(), F.slice(values, 1, 0)).otherwise(values))
     return rows.select(*groups, F.explode(pairs).alias("p")).groupBy(*groups, "p.metric", "p.bucket").agg(F.count("*").alias("n"))
 
 
@@ -113,14 +120,15 @@ def quantiles(sketches: DataFrame, groups: list[str], qs: dict[str, float]) -> D
 
 def thresholds(sketches: DataFrame) -> DataFrame:
     """(g_lang, g_source, a threshold a metric) for every language and source."""
-    qs = {"q1": 0.25, "q3": 0.75}
-    floor = F.create_map(*(F.lit(x) for kv in FLOORS.items() for x in kv))
-    limit = F.greatest(F.element_at(floor, F.col("metric")), F.col("q3") + FENCE * (F.col("q3") - F.col("q1")))
-    levels = [quantiles(sketches, g, qs).select(*g, "metric", "total", limit.alias("t")) for g in (["g_lang", "g_source"], ["g_lang"], [])]
+    own = F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), NARROW * F.col("q3"))
+    values = sketches.filter("metric <> ''")
+    levels = [quantiles(values, g, {"q1": 0.25, "q3": 0.75}).select(*g, "metric", "total", own.alias("t")) for g in (["g_lang", "g_source"], ["g_lang"], [])]
     a, b, c = (x.withColumnsRenamed({"total": f"n{k}", "t": f"t{k}"}) for k, x in enumerate(levels))
-    best = F.when(F.col("n0") >= MIN_GROUP, F.col("t0")).when(F.col("n1") >= MIN_GROUP, F.col("t1")).otherwise(F.col("t2"))
-    rows = a.join(b, ["g_lang", "metric"]).join(c, "metric").withColumn("t", best)
-    return rows.groupBy("g_lang", "g_source").agg(*(F.max(F.when(F.col("metric") == name, F.col("t"))).alias(f"t_{name}") for name in FLOORS))
+    groups = sketches.filter("metric = ''").select("g_lang", "g_source", F.explode(F.array(*map(F.lit, METRICS))).alias("metric"))
+    lean = lambda n, t, larger: (F.coalesce(n * t, F.lit(0.0)) + PRIOR * larger) / (F.coalesce(n, F.lit(0)) + PRIOR)
+    rows = groups.join(a, ["g_lang", "g_source", "metric"], "left").join(b, ["g_lang", "metric"], "left").join(c, "metric", "left")
+    rows = rows.withColumn("t", lean(F.col("n0"), F.col("t0"), lean(F.col("n1"), F.col("t1"), F.col("t2"))))
+    return rows.groupBy("g_lang", "g_source").agg(*(F.max(F.when(F.col("metric") == name, F.col("t"))).alias(f"t_{name}") for name in METRICS))
 
 
 def mark(column: str) -> Column:
@@ -130,11 +138,10 @@ def mark(column: str) -> Column:
 
 def judge(rows: DataFrame) -> DataFrame:
     """base_failed and kept of rows with counts, metrics and thresholds."""
-    low = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     high = F.lit(False)
-    for name in FLOORS:
+    for name in METRICS:
         high = high | F.coalesce(F.col(name) > F.col(f"t_{name}"), F.lit(False))
-    return rows.withColumn("base_failed", low).withColumn("kept", ~low & ~high)
+    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~high)
 
 
 def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -143,25 +150,29 @@ def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(limits) if few else limits, ["g_lang", "g_source"], "left")
 
 
+def judged(rows: DataFrame) -> DataFrame:
+    """Counted rows with base_failed and kept."""
+    marks = {"g_lang": mark("lang"), "g_source": mark("source")}
+    rows = keep(rows, "quality").withColumns(metrics()).withColumns(marks)
+    sketches = keep(sketch(rows, ["g_lang", "g_source"]), "sketches")
+    return judge(with_limits(rows, keep(thresholds(sketches), "thresholds")))
+
+
 def verdicts(docs: DataFrame, *names: str) -> DataFrame:
     """Counts, base_failed and kept for every row, with the named columns of the documents."""
-    rows = keep(counted(docs, *dict.fromkeys((*names, "lang", "source"))).withColumns(metrics()).withColumns({"g_lang": mark("lang"), "g_source": mark("source")}), "quality")
-    return judge(with_limits(rows, keep(thresholds(sketch(rows, ["g_lang", "g_source"])), "thresholds")))
+    return judged(counted(docs, *dict.fromkeys((*names, "lang", "source"))))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    Thresholds (a row a language and source) come from a first pass over the
-    counts; the second pass judges each document where it is read, so no text
-    moves unless there are more thresholds than go to all executors.
+    Documents are written with their counts once; thresholds (a row a language
+    and source) come from the counts alone, and the documents are read again to
+    be judged where they lie: no text moves unless there are more thresholds
+    than go to all executors.
     """
-    names = docs.columns
-    marks = {"g_lang": mark("lang"), "g_source": mark("source")}
-    limits = keep(thresholds(sketch(counted(docs, "lang", "source").withColumns(metrics()).withColumns(marks), ["g_lang", "g_source"])), "thresholds")
-    rows = counted(docs, *names, whole=True).withColumns(metrics()).withColumns(marks)
-    judged = judge(with_limits(rows, limits))
-    return judged.filter("kept").select(*(F.col(f"`__{n}`").alias(n) for n in names))
+    rows = judged(counted(docs, *docs.columns, whole=True))
+    return rows.filter("kept").select(*(F.col(f"`__{n}`").alias(n) for n in docs.columns))
 
 
 def op8_quality_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ import collections
 import hashlib
 import random
 import re
+import struct
 
 import pytest
+import xxhash
 
 from quarry.llm import fingerprints, pii, quality, secrets
 
@@ -149,7 +151,8 @@ def counts(t):
 def test_quality_counts(spark, monkeypatch, rows):
     rnd = random.Random(2)
     more = rows + [(900 + i, " ".join(rnd.choice("ab") for _ in range(rnd.randint(0, 60))) + "\n\n x\n x\ny") for i in range(60)]
-    more += [(2000 + i, f"Clean text {i} " + " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(40))) for i in range(300)] + [(5000, "###*** " + " ".join(f"w{i}$$$" for i in range(60)))]
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8)))
+    more += [(2000 + i, f"Clean text {i} " + " ".join(word() for _ in range(40))) for i in range(300)] + [(5000, "###*** " + " ".join(f"{word()}$$${i}" for i in range(60)))]
     Tables(monkeypatch, quality, table(spark, more))
     got = quality.op8_quality_sketches(spark, "").collect()
     assert sorted((str(r[0]), *r[1:7]) for r in got) == sorted((str(d), *counts(t)) for d, t in more)
@@ -191,9 +194,70 @@ def test_fingerprints(spark, monkeypatch):
         assert [(r.doc_id, r.near_next) for r in fingerprints.op2_closed_syncmers(spark, "").collect()] == [(d, 1.0) for d, _ in few]
 
 
+def brute_anchors(text):
+    """Closed syncmers by the definition, on 64-bit hashes as the engine's."""
+    long = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<Q", x), seed)
+    cuts = set("zQX7;,.(){}=&/")
+    units, now = [], ""
+    for c in text + " ":
+        alone = 0xE00 <= ord(c) <= 0xEFF or 0x1000 <= ord(c) <= 0x109F or 0x1780 <= ord(c) <= 0x17FF or ord(c) >= 0x2E80
+        if now and (alone or c in " \t\n\v\f\r"):
+            units, now = [*units, now], ""
+        if alone:
+            units.append(c)
+        elif c not in " \t\n\v\f\r":
+            now += c
+            if c in cuts:
+                units, now = [*units, now], ""
+    h = [0] * 4 + [xxhash.xxh64_intdigest(u.encode(), 42) for u in units] + [0] * 4
+    out = []
+    for i in range(len(h) - 4):
+        least = [long(h[j + 1], long(h[j], 42)) for j in range(i, i + 4)]
+        least = [x - (1 << 64) if x >> 63 else x for x in least]
+        if min(least) in (least[0], least[-1]):
+            v = 42
+            for x in h[i : i + 5]:
+                v = long(x, v)
+            out.append((i - 3, v - (1 << 64) if v >> 63 else v))
+    return out
+
+
+def test_anchors_are_the_closed_syncmers(spark):
+    rnd = random.Random(9)
+    texts = ["one", "a b", "中文字符没有空格", "b64 aGVsbG8gd29ybGQhIQz7QX==/x", "สวัสดีครับ ok", "😀😀 a.b(c)"] + [" ".join("".join(rnd.choice("abczQ7é中") for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(1, 40))) for _ in range(60)]
+    got = collections.defaultdict(list)
+    for r in fingerprints.anchors(table(spark, list(enumerate(texts)))).collect():
+        got[r.doc_id].append((r.position, r.hash))
+    assert all(sorted(got[i]) == brute_anchors(t) and got[i] for i, t in enumerate(texts))
+
+
 def test_syncmers_are_context_free(spark):
     words = [f"w{i}" for i in range(300)]
-    a, b = " ".join(words), "other start " + " ".join(words[100:])
-    rows = fingerprints.anchors(table(spark, [(1, a), (2, b)])).collect()
-    one, two = ({r.hash for r in rows if r.doc_id == d} for d in (1, 2))
-    assert len(one & two) > 0.9 * len(two) and 0.3 < len(one) / 296 < 0.8
+    rnd = random.Random(8)
+    han = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(3000))
+    code = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))
+    for a, b in ((" ".join(words), "other start " + " ".join(words[100:])), (han, "x" + han), (code, "x" + code)):
+        rows = fingerprints.anchors(table(spark, [(1, a), (2, b)])).collect()
+        one, two = ({r.hash for r in rows if r.doc_id == d} for d in (1, 2))
+        assert len(one & two) > 0.9 * len(two)
+        if a is not words:
+            near = table(spark, [(1, a)]).select(fingerprints.likeness(fingerprints.fingerprint(fingerprints.F.lit(a)), fingerprints.fingerprint(fingerprints.F.lit("x" + a)))).first()[0]
+            assert near > 0.9
+
+
+def test_disclosure_counts_repeated_rows(spark, monkeypatch):
+    base = [(i, f"plain common words number {chr(97 + i % 26) * 4} only") for i in range(60)]
+    base += [(100, "Wombat with q@x.org here"), (101, "other Wombat, q@x.org there")]
+    for times in (1, 4):
+        Tables(monkeypatch, pii, table(spark, base * times))
+        got = {(r.doc_id, r.spans) for r in pii.op4_disclosure_pii(spark, "").collect()}
+        assert (100, "removed:0:6,email:12:19") in got and (101, "removed:6:12,email:14:21") in got and len(got) == len(base)
+
+
+def test_thresholds_follow_their_group(spark):
+    rnd = random.Random(11)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(n + rnd.randint(-1, 1))) for _ in range(60))
+    rows = [(k, words(5), "en", "a") for k in range(400)] + [(1000 + k, words(12), "de", "b") for k in range(2000)] + [(5000, words(13), "en", "a"), (5001, words(13), "de", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.verdicts(docs, "doc_id").collect()}
+    assert not kept[5000] and kept[5001] and sum(kept.values()) >= len(rows) - 3
