@@ -135,6 +135,21 @@ def imports(files: DataFrame) -> DataFrame:
     return _lines(files).select("path", "line", F.explode(F.slice(found, 1, 1)).alias("target"))
 
 
+#: What begins and ends an embedded script.
+SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
+
+
+def embedded_scripts(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, part, body, is_module, first_line) of the scripts inside markup, numbered from 0; null texts have none."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole, bodies = F.regexp_extract_all(text, F.lit(SCRIPT), F.lit(0)), F.regexp_extract_all(text, F.lit(SCRIPT), F.lit(1))
+    lines = F.transform(F.split(text, SCRIPT, -1), lambda x: F.regexp_count(x, F.lit("\n")))
+    own = F.transform(whole, lambda x: F.regexp_count(x, F.lit("\n")))
+    before = lambda k: F.aggregate(F.slice(lines, F.lit(1), k + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(own, F.lit(1), k), F.lit(0), lambda a, x: a + x)
+    parts = F.transform(bodies, lambda b, k: F.struct(k.cast("long").alias("part"), b.alias("body"), F.lower(F.regexp_extract(F.element_at(whole, k + 1), "^[^>]*>", 0)).rlike(r"type\s*=\s*[\"']?module").alias("is_module"), (before(k) + 1).cast("long").alias("first_line")))
+    return pages.select(F.col(id_col), F.explode(parts).alias("s")).select(id_col, "s.*")
+
+
 def lcs_score(query: str, target: str) -> float:
     """Likeness by the longest common subsequence of bytes: its share of both, and a little for runs."""
     a, b = query.encode(), target.encode()

@@ -68,3 +68,58 @@ def directories(files: DataFrame, path: Column, indexed: Column) -> DataFrame:
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     rows = files.select(F.explode(F.when(F.size(parts) > 1, above)).alias("dir"), indexed.alias("__i"))
     return rows.groupBy("dir").agg(F.count("*").alias("files"), F.count_if("__i").alias("indexed"))
+
+
+def project_counts(notes: DataFrame, decisions: DataFrame, todos: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row: notes, decisions, todos, pending_todos, issues, open_issues."""
+    parts = [
+        notes.agg(F.count("*").alias("notes")), decisions.agg(F.count("*").alias("decisions")), todos.agg(F.count("*").alias("todos"), F.count_if(F.col("status") == "pending").alias("pending_todos")),
+        issues.agg(F.count("*").alias("issues"), F.count_if(F.col("status").isin("open", "investigating")).alias("open_issues")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:  # one row each
+        out = out.join(F.broadcast(p))
+    return out
+
+
+def project_summary(notes: DataFrame, todos: DataFrame, issues: DataFrame, most: int = 5) -> DataFrame:
+    """(topic, id, title): the last notes, the todos of high rank that aren't done, and the critical issues that are open."""
+    last = notes.orderBy(F.desc("created_at"), "id").limit(most).select(F.lit("note").alias("topic"), "id", "title")
+    high = todos.filter(F.col("priority").isin("urgent", "high") & ~F.col("status").isin("done", "cancelled")).orderBy(F.desc("created_at"), "id").limit(most).select(F.lit("todo").alias("topic"), "id", "title")
+    bad = issues.filter(F.col("status").isin("open", "investigating") & (F.col("severity") == "critical")).orderBy(F.desc("created_at"), "id").limit(most).select(F.lit("issue").alias("topic"), "id", "title")
+    return last.unionByName(high).unionByName(bad)
+
+
+def index_state(chunks: Column, indexed_at: Column, now: Column, hours: int = 24) -> Column:
+    """missing without chunks, stale if indexed more than some hours ago, else ready."""
+    return F.when(chunks == 0, "missing").when(F.unix_micros(now) - F.unix_micros(indexed_at) > hours * 3_600_000_000, "stale").otherwise("ready")
+
+
+#: What to do by state: a condition over the columns of a one-row table, and the action's name.
+ACTIONS = (("index_state = 'missing'", "index"), ("index_state = 'stale'", "update_index"), ("conflicts > 0", "resolve_conflicts"), ("dirty > 0", "commit"), ("open_issues > 0", "review_issues"), ("pending_todos > 0", "work_on_todos"))
+
+
+def suggested_actions(state: DataFrame) -> DataFrame:
+    """(place, action) for a one-row table (index_state, conflicts, dirty, open_issues, pending_todos)."""
+    hits = F.array_compact(F.array(*(F.when(F.expr(c), F.lit(a)) for c, a in ACTIONS)))
+    return state.select(F.posexplode(hits).alias("place", "action"))
+
+
+def issue_rows(found: DataFrame) -> DataFrame:
+    """Issues (number, title, body, labels, state, author, url) of a tracker as issue records: id, title, description, severity, status."""
+    parts = F.array_compact(F.array(F.nullif(F.col("body"), F.lit("")), F.concat(F.lit("Labels: "), F.nullif(F.array_join("labels", ", "), F.lit(""))), F.concat(F.lit("Author: "), "author"), F.concat(F.lit("URL: "), "url")))
+    return found.select(
+        F.concat(F.lit("gh-"), F.col("number").cast("string")).alias("id"), F.concat(F.lit("[#"), F.col("number").cast("string"), F.lit("] "), "title").alias("title"), F.array_join(parts, "\n").alias("description"), severity(F.col("labels")).alias("severity"),
+        F.when(F.lower("state") == "closed", "resolved").otherwise("open").alias("status"),
+    )
+
+
+#: Columns of what a tracker's command line prints as JSON.
+TRACKED = "array<struct<number:long,title:string,body:string,state:string,url:string,author:struct<login:string>,labels:array<struct<name:string>>>>"
+
+
+def tracked_issues(printed: DataFrame, text: str = "json") -> DataFrame:
+    """Issues or pull requests of a tracker's JSON listings, a listing a row; unreadable listings give none."""
+    rows = printed.select(F.explode(F.from_json(text, TRACKED)).alias("i"))
+    names = F.transform("i.labels", lambda x: x["name"])
+    return rows.select("i.number", "i.title", "i.body", "i.state", "i.url", F.col("i.author.login").alias("author"), F.coalesce(names, F.array().cast("array<string>")).alias("labels"))

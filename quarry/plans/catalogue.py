@@ -69,9 +69,9 @@ def grep_lines(t) -> DataFrame:
     return retrieval.line_matches(t("documents"), "licen[cs]ed? under")
 
 
-@query("WITH x AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents), y AS (SELECT id, unnest(ls) AS content, generate_subscripts(ls, 1)::BIGINT AS line FROM x) SELECT id, line, content FROM y WHERE contains(content, 'api_key')")
+@query("WITH x AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents), y AS (SELECT id, unnest(ls) AS content, generate_subscripts(ls, 1)::BIGINT AS line FROM x) SELECT id, line, content FROM y WHERE contains(content, 'License')")
 def grep_literal(t) -> DataFrame:
-    return retrieval.line_matches(t("documents"), "api_key", literal=True, ignore_case=False)
+    return retrieval.line_matches(t("documents"), "License", literal=True, ignore_case=False)
 
 
 @query("SELECT p_type, p_partkey, levenshtein(p_name, 'blue part')::BIGINT AS distance FROM part WHERE levenshtein(p_name, 'blue part') <= 6")
@@ -80,9 +80,9 @@ def levenshtein_similar(t) -> DataFrame:
     return t("part").filter(d <= 6).select("p_type", "p_partkey", d.alias("distance"))
 
 
-@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_name ILIKE '%1%' AND p_size >= 30 ORDER BY p_size DESC, p_partkey LIMIT 50")
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_name ILIKE '%RIN%' AND p_size >= 30 ORDER BY p_size DESC, p_partkey LIMIT 50")
 def find_symbols(t) -> DataFrame:
-    return t("part").filter(F.col("p_name").ilike("%1%") & (F.col("p_size") >= 30)).select("p_partkey", "p_name", "p_size").orderBy(F.desc("p_size"), "p_partkey").limit(50)
+    return t("part").filter(F.col("p_name").ilike("%RIN%") & (F.col("p_size") >= 30)).select("p_partkey", "p_name", "p_size").orderBy(F.desc("p_size"), "p_partkey").limit(50)
 
 
 @query("SELECT p_partkey, (p_size // 5)::BIGINT AS complexity, CASE WHEN p_size > 40 THEN 4 WHEN p_size > 35 THEN 3 ELSE 2 END::BIGINT AS nesting FROM part WHERE p_size >= 30")
@@ -111,26 +111,6 @@ def top_imports(t) -> DataFrame:
     return t("lineitem").groupBy(F.col("l_partkey").alias("package")).agg(F.count("*").alias("imports"), F.countDistinct("l_suppkey").alias("files")).orderBy(F.desc("imports"), "package").limit(20)
 
 
-EDGES = "SELECT DISTINCT (l_partkey % 500) AS src, (l_suppkey * 7 + l_linenumber) % 500 AS dst FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 2"
-
-
-def _edges(t) -> DataFrame:
-    return t("lineitem").filter("l_linestatus = 'O' and l_quantity < 2").select((F.col("l_partkey") % 500).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 500).alias("dst"))
-
-
-@query(f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM e, r WHERE e.src = r.node) SELECT node::BIGINT AS node FROM r")
-def reachability(t) -> DataFrame:
-    return graph.reachable(_edges(t), t("part").sparkSession.range(1, 2).select(F.col("id").alias("node")))
-
-
-@query(f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM e, r WHERE e.src = r.node) SELECT p_partkey, round(greatest(0.0, least(1.0, 0.85 - CASE WHEN p_size % 2 = 0 THEN 0.3 ELSE 0 END)), 6)::DOUBLE AS confidence FROM part WHERE p_partkey < 500 AND p_partkey NOT IN (SELECT node FROM r) AND 0.85 - CASE WHEN p_size % 2 = 0 THEN 0.3 ELSE 0 END >= 0.5")
-def dead_code(t) -> DataFrame:
-    live = graph.reachable(_edges(t), t("part").sparkSession.range(1, 2).select(F.col("id").alias("node")))
-    dead = t("part").filter("p_partkey < 500").join(live, F.col("p_partkey") == live.node, "left_anti")
-    c = graph.dead_confidence(F.lit("x"), F.col("p_size") % 2 == 0, F.lit(False), F.lit(False))
-    return dead.select("p_partkey", r6(c).alias("confidence")).filter("confidence >= 0.5")
-
-
 ALL_EDGES = "SELECT DISTINCT l_partkey AS src, l_suppkey * 7 + l_linenumber AS dst FROM lineitem"
 
 
@@ -139,18 +119,10 @@ def _all_edges(t) -> DataFrame:
 
 
 @query(f"WITH RECURSIVE e AS ({ALL_EDGES}), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM e, r WHERE e.src = r.node) SELECT node::BIGINT AS node FROM r")
-def reachability_all(t) -> DataFrame:
+def reachability(t) -> DataFrame:
     return graph.reachable(_all_edges(t), t("part").sparkSession.range(1, 2).select(F.col("id").alias("node")))
 
 
-@query(f"WITH RECURSIVE e AS ({ALL_EDGES}), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM e, r WHERE e.src = r.node) SELECT p_partkey, round(greatest(0.0, least(1.0, 0.85 - CASE WHEN p_size % 2 = 0 THEN 0.3 ELSE 0 END)), 6)::DOUBLE AS confidence FROM part WHERE p_partkey NOT IN (SELECT node FROM r) AND 0.85 - CASE WHEN p_size % 2 = 0 THEN 0.3 ELSE 0 END >= 0.5")
-def dead_code_all(t) -> DataFrame:
-    live = reachability_all(t)
-    dead = t("part").join(live, F.col("p_partkey") == live.node, "left_anti")
-    c = graph.dead_confidence(F.lit("x"), F.col("p_size") % 2 == 0, F.lit(False), F.lit(False))
-    return dead.select("p_partkey", r6(c).alias("confidence")).filter("confidence >= 0.5")
-
-
 @query("SELECT count(*) AS chunks, count(DISTINCT source) AS files, sum(n_chars)::BIGINT AS chars FROM documents")
 def store_stats(t) -> DataFrame:
     return t("documents").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("files"), F.sum("n_chars").alias("chars"))
@@ -181,14 +153,8 @@ def history_search(t) -> DataFrame:
     return rows.select("l_orderkey", "l_partkey", "l_linenumber", r6(0.4 + 0.2 * retrieval.recency(age, 60.0)).alias("score"))
 
 
-@query("SELECT a.l_orderkey, a.l_partkey AS part, b.l_partkey AS related, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_orderkey <= 300 GROUP BY ALL")
-def related_changes(t) -> DataFrame:
-    a = t("lineitem").filter("l_orderkey <= 300").select("l_orderkey", F.col("l_partkey").alias("part"))
-    return a.join(a.withColumnRenamed("part", "related"), "l_orderkey").filter("part <> related").groupBy("l_orderkey", "part", "related").agg(F.count("*").alias("n"))
-
-
 @query("SELECT a.l_orderkey, a.l_partkey AS part, b.l_partkey AS related, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY ALL")
-def related_changes_all(t) -> DataFrame:
+def related_changes(t) -> DataFrame:
     a = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("part"))
     return a.join(a.withColumnRenamed("part", "related"), "l_orderkey").filter("part <> related").groupBy("l_orderkey", "part", "related").agg(F.count("*").alias("n"))
 
@@ -245,14 +211,8 @@ def notes_filter(t) -> DataFrame:
 _POINTS = r"len(regexp_extract_all(lower(text), '\b(?:if|elif|for|while|case|catch)\b')) + len(regexp_extract_all(lower(text), '\belse if\b')) + len(regexp_extract_all(lower(text), '&&|\|\||\?'))"
 
 
-@query(f"SELECT doc_id, ({_POINTS})::BIGINT AS points, CASE WHEN {_POINTS} <= 5 THEN 'low' WHEN {_POINTS} <= 10 THEN 'medium' WHEN {_POINTS} <= 20 THEN 'high' ELSE 'very_high' END AS rating FROM documents WHERE lang = 'en'")
-def decision_counts(t) -> DataFrame:
-    p = decision_points(F.col("text")).cast("long")
-    return t("documents").filter("lang = 'en'").select("doc_id", p.alias("points"), rating(p).alias("rating"))
-
-
 @query(f"SELECT doc_id, ({_POINTS})::BIGINT AS points, CASE WHEN {_POINTS} <= 5 THEN 'low' WHEN {_POINTS} <= 10 THEN 'medium' WHEN {_POINTS} <= 20 THEN 'high' ELSE 'very_high' END AS rating FROM documents")
-def decision_counts_all(t) -> DataFrame:
+def decision_counts(t) -> DataFrame:
     p = decision_points(F.col("text")).cast("long")
     return t("documents").select("doc_id", p.alias("points"), rating(p).alias("rating"))
 
@@ -262,13 +222,6 @@ def script_extract(t) -> DataFrame:
     return t("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(0))).cast("long").alias("scripts"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 7 = 0")
-def changed_files(t) -> DataFrame:
-    d = t("documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    cached = d.withColumn("hash", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("hash")))
-    return d.join(cached, ["doc_id", "hash"], "left_anti")
-
-
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def upsert_latest(t) -> DataFrame:
     return graph.latest(t("events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "ts")
@@ -337,10 +290,10 @@ def file_complexity(t) -> DataFrame:
     return code.complexity(t("pages"), "page_id", "html")
 
 
-@query("WITH c AS (SELECT l_partkey AS part, l_suppkey, (o_orderdate, l_orderkey, l_linenumber) AS moment FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT part, count(*) AS changes, count(DISTINCT l_suppkey) AS authors, arg_min(l_suppkey, moment) AS created_by, arg_max(l_suppkey, moment) AS changed_by FROM c GROUP BY part")
+@query("WITH c AS (SELECT l_partkey AS part, l_suppkey, (o_orderdate, l_orderkey, l_linenumber, l_suppkey) AS moment FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT part, count(*) AS changes, count(DISTINCT l_suppkey) AS authors, arg_min(l_suppkey, moment) AS created_by, arg_max(l_suppkey, moment) AS changed_by FROM c GROUP BY part")
 def chunk_evolution(t) -> DataFrame:
     rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return code.evolution(rows, "l_partkey", "l_suppkey", ["o_orderdate", "l_orderkey", "l_linenumber"])
+    return code.evolution(rows, "l_partkey", "l_suppkey", ["o_orderdate", "l_orderkey", "l_linenumber", "l_suppkey"])
 
 
 @query("WITH bb AS (SELECT o_orderkey AS id, {'s': o_orderstatus, 'u': o_orderdate} AS b FROM orders WHERE o_orderkey % 5 <> 0), oo AS (SELECT o_orderkey AS id, {'s': o_orderstatus, 'u': o_orderdate + to_days((o_orderkey % 3)::INT)} AS o FROM orders WHERE o_orderkey % 7 <> 0), tt AS (SELECT o_orderkey AS id, {'s': CASE WHEN o_orderkey % 2 = 0 THEN 'P' ELSE o_orderstatus END, 'u': o_orderdate + to_days((o_orderkey % 2)::INT)} AS t FROM orders WHERE o_orderkey % 11 <> 0), j AS (SELECT id, CASE WHEN o IS NOT NULL AND t IS NOT NULL THEN CASE WHEN o.s = 'F' THEN o WHEN t.s = 'F' THEN t WHEN o.u > t.u THEN o ELSE t END WHEN b IS NULL THEN coalesce(o, t) END AS p FROM bb FULL JOIN oo USING (id) FULL JOIN tt USING (id)) SELECT id, p.s AS status, p.u AS updated FROM j WHERE p IS NOT NULL")
@@ -425,3 +378,6 @@ def resolve_symbols(t) -> DataFrame:
 def document_chunks(t) -> DataFrame:
     files = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.lit("text").alias("language"))
     return chunking.chunks(files, 200).select(F.col("path").cast("long").alias("doc_id"), "chunk_type", "start_line", "end_line", "hash")
+
+
+from quarry.plans import code_search, records as record_queries  # noqa: E402,F401  they register their queries

@@ -16,7 +16,7 @@ def test_related_changes_of_all_commits(spark, tmp_path):
     lines = [(o, o * k % 7) for o in (1, 300, 301, 90000) for k in range(1, 5)]
     at = saved(tmp_path, lineitem=spark.createDataFrame(lines, "l_orderkey long, l_partkey long"))
     want = collections.Counter((a[0], a[1], b[1]) for a, b in itertools.product(lines, lines) if a[0] == b[0] and a[1] != b[1])
-    got = catalogue.QUERIES["related_changes_all"](spark, at).collect()
+    got = catalogue.QUERIES["related_changes"](spark, at).collect()
     assert {(r.l_orderkey, r.part, r.related): r.n for r in got} == want and len(got) == len(want)
 
 
@@ -29,7 +29,5 @@ def test_graph_of_all_lines_and_parts(spark, tmp_path):
     while more := {7 * s + n for p, s, n, *_ in lines if p in live} - live:
         live |= more
     assert live == {1, 703, 1401}
-    assert sorted(r.node for r in catalogue.QUERIES["reachability_all"](spark, at).collect()) == sorted(live)
-    want = {k: 0.55 if size % 2 == 0 else 0.85 for k, size in parts if k not in live}
-    assert {r.p_partkey: r.confidence for r in catalogue.QUERIES["dead_code_all"](spark, at).collect()} == want
-    assert {r.doc_id: r.points for r in catalogue.QUERIES["decision_counts_all"](spark, at).collect()} == {1: 1, 2: 1, 3: 1}
+    assert sorted(r.node for r in catalogue.QUERIES["reachability"](spark, at).collect()) == sorted(live)
+    assert {r.doc_id: r.points for r in catalogue.QUERIES["decision_counts"](spark, at).collect()} == {1: 1, 2: 1, 3: 1}
