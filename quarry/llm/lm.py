@@ -11,6 +11,8 @@ ln(BACKOFF * c(w) / N); a document's first word takes ln(c(w) / N). With
 leave_one_out a document's own occurrences are taken off all counts it is scored
 by (a word seen nowhere else counts as once), so no text vouches for itself.
 
+A-Z are lower-cased, all else stays as it is.
+
 Defined cases: null, empty and blank texts have no words and a score of 0; rows
 that repeat or lack a doc_id are scored as any other; an empty table gives no
 row; extra columns are ignored.
@@ -171,4 +173,5 @@ def scores(docs: DataFrame, min_count: int = 1, leave_one_out: bool = True) -> D
 
 
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(documents(spark, sf_dir))
+    s = scores(documents(spark, sf_dir))
+    return s.withColumns({n: F.round(n, 4) for n in ("score", "mean_score")})

@@ -75,7 +75,7 @@ def counted(docs: DataFrame, *names: str, whole: bool = False) -> DataFrame:
         wide.alias("w"),
         F.when(text.rlike(r"[#*$%&|<>]"), F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).otherwise(0).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"),
-        F.length(F.regexp_replace(text, r"[\p{L}\s]+", "")).cast("long").alias("nonletters_n"),
+        F.length(F.regexp_replace(text, r"[\p{L}\x20\x09-\x0D]+", "")).cast("long").alias("nonletters_n"),
         F.when(text.rlike("[A-Z]{2}"), F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).otherwise(0).cast("long").alias("capitals"),
     )
     # no filter on the counts moves below the explode, which would work them out once for each use
