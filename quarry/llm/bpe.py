@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,7 +105,13 @@ class BytePairCodec:
         self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
-        self.encoder = PieceEncoder(lambda words: [fold_merges(w.encode(), self.ranks) for w in words], self.encode_text)
+        self.encoder = PieceEncoder(self.encode_pieces, self.encode_text)
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct pieces, and the number of each."""
+        lists = [fold_merges(p.encode(), self.ranks) for p in pieces]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
     def encode_text(self, text: str) -> list[int]:
         """A whole text with the pattern itself, for characters on which Unicode tables may differ."""

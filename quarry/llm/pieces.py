@@ -16,37 +16,41 @@ import pyarrow as pa
 
 from quarry.llm.kernels import spread, split_pieces, string_buffers, text_chunks
 
-#: Bytes of pieces and ids that a worker remembers; beyond it the memory starts anew, which changes no result.
-MEMO_BYTES = 8 << 20
+#: Distinct pieces a worker remembers, the first it meets; all others are encoded once a chunk. It changes no result.
+MEMO_PIECES = 1 << 16
 #: Longest piece that is remembered, in bytes.
-MEMO_PIECE = 64
-#: Bytes of text cut into pieces at once; working memory is some fifty times as much.
-PIECE_CHUNK = 1 << 19
+MEMO_BYTES = 64
+#: Bytes of text cut into pieces at once.
+PIECE_CHUNK = 1 << 20
 
 
 class PieceEncoder:
-    """Encodes batches with `encode_pieces` (distinct pieces) and `encode_text` (odd texts, and texts that hold any of `whole`)."""
+    """Encodes batches with `encode_pieces` (distinct pieces to all their ids and the number of each) and `encode_text` (odd texts, and texts that hold any of `whole`)."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]], encode_text: Callable[[str], list[int]], whole: list[bytes] = ()):
+    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_text: Callable[[str], list[int]], whole: list[bytes] = ()):
         self.encode_pieces, self.encode_text, self.whole = encode_pieces, encode_text, whole
-        self.forget()
-
-    def forget(self) -> None:
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.used = 0
-
-    def _ids_of(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct pieces, from memory or made now."""
-        if self.used > MEMO_BYTES:
-            self.forget()
-        out = list(map(self.memo.get, pieces))
-        missing = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(missing, self.encode_pieces([pieces[k] for k in missing]) if missing else ()):
-            out[k] = tuple(ids)
-            if len(pieces[k]) <= MEMO_PIECE:
-                self.memo[pieces[k]] = out[k]
-                self.used += 64 + len(pieces[k]) + 8 * len(ids)
-        return out
+        self.memo: dict[str, int] = {}
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each piece, number of ids at each place, all their ids), from memory or made now."""
+        places = np.fromiter(map(self.memo.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(places < 0)
+        if not len(missing):
+            return places, self.sizes, self.flat
+        fresh = [pieces[k] for k in missing]
+        ids, sizes = self.encode_pieces(fresh)
+        known = len(self.sizes)
+        places[missing] = known + np.arange(len(fresh))
+        all_sizes, all_ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+        room = MEMO_PIECES - known
+        if room > 0:  # places of what is remembered stay as they are, so a run of new ones is kept whole
+            for k, p in enumerate(fresh[:room]):
+                if len(p) <= MEMO_BYTES:
+                    self.memo[p] = known + k
+            self.sizes = all_sizes[: known + room].copy()
+            self.flat = all_ids[: int(self.sizes.sum())].copy()
+        return places, all_sizes, all_ids
 
     def encode_parts(self, column: pa.Array | pa.ChunkedArray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, ids of each text) for runs of texts of about `chunk` bytes, so that neither working memory nor ids grow with the batch."""
@@ -82,10 +86,8 @@ class PieceEncoder:
         at = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pieces.dictionary_encode()
-        lists = self._ids_of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        codes = coded.indices.to_numpy()
+        places, sizes, flat = self._ids_of(coded.dictionary.to_pylist())
+        codes = places[coded.indices.to_numpy()]
         ids = flat[spread(codes, sizes, np.cumsum(sizes) - sizes)]
         total = np.concatenate([[0], np.cumsum(sizes[codes])])
         n = np.diff(total[np.searchsorted(starts, offsets)])
@@ -116,9 +118,11 @@ def library_encoder(path: str) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _LIBRARY[path] = PieceEncoder(
-            lambda pieces: [e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False)],
-            lambda text: tok.encode(text, add_special_tokens=False).ids,
-            [t.content.encode() for t in tok.get_added_tokens_decoder().values() if t.content],
-        )
+
+        def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            # one row of words that are cut already: the library keeps to their borders and says whose each id is
+            e = tok.encode_batch([pieces], is_pretokenized=True, add_special_tokens=False)[0]
+            return np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(pieces))
+
+        _LIBRARY[path] = PieceEncoder(encode_pieces, lambda text: tok.encode(text, add_special_tokens=False).ids, [t.content.encode() for t in tok.get_added_tokens_decoder().values() if t.content])
     return _LIBRARY[path]

@@ -19,6 +19,7 @@ empty table gives no row; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import functools
 import math
@@ -30,19 +31,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType
 
 from quarry.llm.storage import documents, only
 from quarry.llm.workers import tidy, values
 
-#: Labelled rows that fit the model at most.
+#: Labelled rows that fit the model at most; this bounds the lexicon, which goes to executors, by the terms of so many texts.
 SAMPLE = 12_000
-#: Entries of the lexicon at most, heaviest first; with SAMPLE this bounds the model that goes to executors.
-LEXICON = 20_000
 #: An entry is in at least so many toxic documents of the sample, or this share of them.
 LEAST_DOCS, LEAST_SHARE = 3, 0.008
 #: Least log-odds of an entry.
 LEAST_WEIGHT = 2.0
 STEMS = range(3, 10)
+#: Terms that a task holds before it passes their counts on; sums are the same.
+HELD_TERMS = 40_000
 #: In these phrases a lexicon word names a thing.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "idiot proof")
 #: Characters written for a letter.
@@ -108,9 +110,10 @@ def weigh(text: str, model: Model) -> tuple[float, int]:
                 best[start] = weight
         else:
             excused.append((start, end))
-    for a, b in excused:
-        for at in [x for x in best if a <= x < b - 1]:
-            del best[at]
+    if excused:
+        starts, ends = (sorted(x) for x in zip(*excused))
+        # a place lies in a phrase if more phrases have begun than ended by then
+        best = {x: w for x, w in best.items() if bisect.bisect_right(starts, x) == bisect.bisect_left(ends, x + 2)}
     return math.fsum(best.values()), n
 
 
@@ -137,7 +140,7 @@ def _lexicon(counts: list[tuple[str, int, int]], toxic: int, other: int) -> tupl
                 weights[term] = w
     # a longer entry only counts if it is heavier than all its beginnings
     kept = {t: w for t, w in weights.items() if all(weights.get(t[:k], 0.0) < w for k in range(4, len(t)))}
-    return tuple(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
+    return tuple(sorted(kept.items(), key=lambda x: (-x[1], x[0])))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -164,22 +167,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from documents (doc_id, text) and labels (doc_id, toxic): see the module."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     usable = usable.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
-    taken = usable.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # of labels that disagree the toxic one
+    taken = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = only(docs, "doc_id", "text").join(F.broadcast(taken), "doc_id")  # at most `sample` rows of two numbers
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (Counter(), Counter())
-        size = [0, 0]
+
+        def told() -> pa.RecordBatch:
+            terms = list(found[0].keys() | found[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([found[y][t] for t in terms], pa.int64()) for y in (1, 0))], ["term", "p", "n"])
+            for f in found:
+                f.clear()
+            return out
+
         for b in batches:
             for i, t, y in zip(*map(values, b.columns)):
                 if zlib.crc32(b"half%d" % i) & 1:
                     continue
                 found[y != 0].update(_terms(t or ""))
-                size[y != 0] += 1
-        terms = [*(found[0].keys() | found[1].keys()), ""]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms), pa.array([*(found[1][t] for t in terms[:-1]), size[1]], pa.int64()), pa.array([*(found[0][t] for t in terms[:-1]), size[0]], pa.int64())], ["term", "p", "n"]
-        )
+                found[y != 0][""] += 1  # stands for the document itself
+                if len(found[0]) + len(found[1]) > HELD_TERMS:
+                    yield told()
+        yield told()
 
     counts = texts.select("doc_id", "text", "toxic").mapInArrow(tidy(count), "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     rows = counts.filter(F.col("p") >= LEAST_DOCS).collect()  # terms of at most `sample` texts' toxic part
@@ -203,21 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, *names: str) -> DataFrame:
-    """The named columns of every row with `score` (0 to 1)."""
-    kept = docs.select(*(F.col(f"`{n}`") for n in names), F.col("text").alias("__text"))
-    n = len(names)
+    """The named columns of every row with `__score` (0 to 1); only texts go to Python, only scores come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = model.coefficients
-        for b in batches:
-            out = []
-            for t in values(b.column(n)):
-                f = features(*weigh(t or "", model))
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * f[0] + c[2] * f[1])))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.float64())], [*names, "__score"])
-
-    schema = kept.drop("__text").schema.add("__score", "double")
-    return kept.mapInArrow(tidy(run), schema)
+    def score(texts: pa.Array) -> pa.Array:
+        c, out = model.coefficients, []
+        for t in values(texts):
+            f = features(*weigh(t or "", model))
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * f[0] + c[2] * f[1])))))
+        return pa.array(out, pa.float64())
+
+    udf = F.arrow_udf(score, DoubleType())
+    return docs.select(*(F.col(f"`{n}`") for n in names), udf(F.col("text")).alias("__score"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
