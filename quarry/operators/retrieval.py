@@ -103,8 +103,12 @@ def line_matches(docs: DataFrame, pattern: str, literal: bool = False, ignore_ca
 
 
 def line_context(docs: DataFrame, pattern: str, around: int) -> DataFrame:
-    """Lines that match (id, line), each with the lines around it, as far as the text has them (context)."""
-    rows = docs.select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("ls")).select("id", "ls", F.posexplode("ls").alias("at", "content"))
-    first = F.greatest(F.lit(1), F.col("at") + 1 - around)
-    context = F.array_join(F.slice("ls", first, F.col("at") + 2 + around - first), "\n")
-    return rows.filter(F.col("content").rlike(f"(?i){pattern}")).select("id", (F.col("at") + 1).cast("long").alias("line"), context.alias("context"))
+    """Lines that match (id, line), each with the lines around it, as far as the text has them (context); only hits leave the text's row."""
+    rows = docs.filter(F.col("text").rlike(f"(?im){pattern}") if not set("^$") & set(pattern) and "(?" not in pattern else F.lit(True)).select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("ls"))
+
+    def hit(at: Column) -> Column:
+        first = F.greatest(F.lit(1), at - around)
+        return F.struct(at.cast("long").alias("line"), F.array_join(F.slice("ls", first, at + around + 1 - first), "\n").alias("context"))
+
+    hits = F.filter(F.sequence(F.lit(1), F.size("ls")), lambda k: F.element_at("ls", k).rlike(f"(?i){pattern}"))
+    return rows.select("id", F.explode(F.transform(hits, hit)).alias("h")).select("id", "h.line", "h.context")

@@ -270,6 +270,11 @@ def changed_chunks_by_name(changes: DataFrame, chunks: DataFrame) -> DataFrame:
     return c.join(chunks.select(F.col("id").alias("chunk_id"), "file_path", "name"), ["file_path", "name"]).select("change_id", "chunk_id").distinct()
 
 
+def unindexed(table: DataFrame, postings: DataFrame) -> DataFrame:
+    """Ids (id) of a table that no posting has: what an index lacks and a rebuild would add; texts without a word are among them."""
+    return table.select("id").join(postings.select("id").distinct(), "id", "left_anti")
+
+
 def averaged(near: DataFrame, text: DataFrame) -> DataFrame:
     """(id, vector_score) of two candidate lists (id, score) and (id, bm25): the mean where both have a row, else the one (J08)."""
     b = F.abs("bm25")

@@ -7,16 +7,23 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.functions.code import decision_points, matches_glob, rating
 from quarry.operators import chunking, code, graph, merge, records, retrieval
 from quarry.sources import history
+from quarry.sources.files import spread
 from quarry.streaming.debounce import debounced
 
 QUERIES, ORACLES = {}, {}
+#: Tables whose rows take long each.
+TEXTS = ("documents", "pages")
 NOW, THEN = "2024-01-31 00:00:00", "2001-12-01 00:00:00"
 WORDS = r"regexp_extract_all(lower(text), '[\pL\pN]+')"
 
 
 def query(sql: str | None):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        def read(spark, sf_dir):
+            tables = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            return lambda t: spread(tables(t)) if t in TEXTS else tables(t)
+
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(read(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = sql
         return f

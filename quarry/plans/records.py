@@ -253,3 +253,25 @@ def index_state(t) -> DataFrame:
     d = t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
     base = F.lit("2024-01-01").cast("timestamp")
     return d.select("lang", state(F.col("n"), base + F.expr("make_dt_interval(0, cast(last as int))"), base + F.expr("make_dt_interval(0, 524)")).alias("state"))
+
+
+@query(f"SELECT * FROM (SELECT 'note' AS topic, id, title FROM {twin('notes')} ORDER BY created_at DESC, id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'todo', id, title FROM {twin('work_items')} WHERE priority IN ('urgent', 'high') AND status NOT IN ('done', 'cancelled') ORDER BY created_at DESC, id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'issue', id, title FROM (SELECT DISTINCT id, title, created_at FROM {twin('issues')} WHERE status IN ('open', 'investigating') AND severity = 'critical') ORDER BY created_at DESC, id LIMIT 5)")
+def project_summary(t) -> DataFrame:
+    from quarry.operators.records import project_summary as summary
+
+    open_issues = made(t, "issues").dropDuplicates(["id", "title", "created_at", "status", "severity"])
+    return summary(made(t, "notes"), made(t, "work_items"), open_issues.filter(F.col("status").isin("open", "investigating")).dropDuplicates(["id", "title", "created_at", "severity"]))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity + l_linenumber BETWEEN 20 AND 30")
+def worth_embedding(t) -> DataFrame:
+    from quarry.streaming.watch import worth_embedding as worth
+
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("additions"), F.col("l_linenumber").alias("deletions"))
+    return worth(rows, 20, 30).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 10 = 3 OR NOT regexp_matches(lower(text), '[\\pL\\pN]')")
+def index_health(t) -> DataFrame:
+    d = t("documents")
+    return search.unindexed(d.select(F.col("doc_id").alias("id")), search.retrieval.postings(d.filter("doc_id % 10 <> 3"), "doc_id", "text"))

@@ -146,6 +146,17 @@ def cleared(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: table.limit(0) for name, table in tables.items()}
 
 
+#: Bytes a core under which a table is dealt out anew: a small file may be one row group, which is one task.
+SMALL = 4 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table whose plan is small dealt to all cores; a larger one as it is. Rows are the same."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size < cores * SMALL else table
+
+
 def put_hashes(cache: DataFrame, files: DataFrame) -> DataFrame:
     """The cache (path, hash, config_hash) with the given files' hashes; a null config_hash is one."""
     new = files.select(*(F.col(c) if c in files.columns else F.lit(None).cast("string").alias(c) for c in ("path", "hash", "config_hash"))).dropDuplicates(["path"])
