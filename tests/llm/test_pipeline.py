@@ -66,3 +66,34 @@ def test_pipeline_runs(spark):
     for r in out:
         seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert out and all(sum(n for _, n in p) <= 2048 for p in seqs.values())
+
+
+def saved(spark, at, docs, labels):
+    spark.createDataFrame(docs, COLUMNS + ", key string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """Every token of every document that stays is in one place of one sequence; nulls, repeats and columns with clashing names pass through."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [(*r, "k") for r in rows_of()] + [(None, rows_of()[5][1] + " no id", "en", "s", 1, "k"), (200, "mail bob@x.org " + rows_of()[7][1][50:] + " tail", "en", "s", 1, None)]
+    at = saved(spark, tmp_path / "a", rows, [(1, 1, 0), (None, None, None)])
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns, name
+        docs = corpus_pipeline.keep(out, "test")
+    kept = docs.collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted([*map(str, range(30)), "None", "200"]) and any(r.text.startswith("mail [EMAIL] ") for r in kept)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: tok.encode(r.text or "", add_special_tokens=False).ids + [1] for r in kept}
+    packed = corpus_pipeline.run(spark, at).collect()
+    assert {r.doc_id: r.doc_tokens for r in packed} == {d: len(x) for d, x in want.items()}
+    for d, ids in want.items():
+        pieces = sorted((r.start, r.length, r.ids_crc32) for r in packed if r.doc_id == d)
+        assert sum(n for _, n, _ in pieces) == len(ids) and all(zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[a : a + n])) == c for a, n, c in pieces)
+    empty = saved(spark, tmp_path / "b", [], [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
