@@ -1,20 +1,19 @@
 """Operator 3: byte-level BPE by ranked merges, and its inverse.
 
-Texts are cut by the pattern into pieces, block by block of documents. Every
-distinct piece is encoded once, in column expressions: a higher-order fold over its
-byte array joins the neighbours whose union has the least rank in a literal rank
-map, until no union has a rank. The map is a literal array of small maps, chosen by
-a hash of the key, as a lookup in one map reads all of it; its size is the
-vocabulary's. The ids of its pieces go back to each block, which lays its texts'
-ids out from them; decoding concatenates the ids' binary pieces.
-
-A piece of more than FOLD_BYTES bytes is encoded by the same merges in Python where
-it is met, with a heap in place of the scan for the least rank, as a fold's steps
-times its length grow with the square. Texts with characters on which Unicode tables
-may differ are encoded whole by the library.
+A text is cut by the pattern; every distinct piece that a worker meets is encoded
+once by folding the merges in order of rank over its bytes: the pair of neighbours
+whose union has the least rank joins, until no union has a rank. Decoding
+concatenates the ids' binary pieces. The rank map has a fixed size (the vocabulary).
+
+`encode_words` does the same for a table of words in column expressions alone: a
+higher-order fold over each word's byte array, with the rank map as one literal (an
+array of small maps, chosen by a hash of the key, as a lookup in one map reads all
+of it). Whole texts don't go that way: the ids of a text's words must come back to
+it, which needs more disk and time than there is (README has the figures).
 
 Defined cases: a null text is empty (no ids, hash of nothing); rows keep their
-number and doc_id whatever repeats or is null; extra columns are ignored.
+number and doc_id whatever repeats or is null; a null or empty word has no ids;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,27 +23,22 @@ import functools
 import hashlib
 import itertools
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quarry.llm.kernels import split_pieces, spread, string_buffers, text_chunks
+from quarry.llm.kernels import spread
 from quarry.llm.native import let
-from quarry.llm.pieces import PIECE_CHUNK
-from quarry.llm.storage import documents, keep, only
+from quarry.llm.pieces import PieceEncoder
+from quarry.llm.storage import documents, only
 from quarry.llm.workers import tidy
 
 #: Pieces of more bytes than this are merged with a heap instead of a scan for the least rank; the ids are the same.
 SCAN_BYTES = 64
-#: Longest piece that the fold in column expressions takes, in bytes.
-FOLD_BYTES = 64
 #: Maps that the literal rank map is made of.
 RANK_MAPS = 1 << 14
-#: Text bytes of a block; blocks whose dictionaries ask for a piece in one row at most.
-BLOCK_BYTES, ASKERS = 16 << 20, 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -122,6 +116,7 @@ class BytePairCodec:
         self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.encoder = PieceEncoder(self.encode_pieces, self.encode_text)
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of distinct pieces, and the number of each."""
@@ -208,123 +203,22 @@ def _fold(hexed: Column, ranks: Column) -> Column:
     return let(hexed, fold)
 
 
-class Block:
-    """Texts of a block and their distinct pieces."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets, self.odd = data, offsets, np.zeros(len(offsets) - 1, bool)
-
-    def parts(self) -> Iterator[tuple[int, int, np.ndarray, pa.DictionaryArray | None]]:
-        """(first text, last text, first piece of each text, pieces) a PIECE_CHUNK at a time; odd texts have no piece."""
-        for a, b in text_chunks(self.offsets, PIECE_CHUNK):
-            data, at = self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]
-            _, odd = split_pieces(data, at)
-            if odd.any():
-                data, at = data[np.repeat(~odd, np.diff(at))], np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(at)))])
-            self.odd[a:b] = odd
-            if not len(data):
-                yield a, b, np.zeros(len(at), np.int64), None
-                continue
-            starts, _ = split_pieces(data, at)
-            ends = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
-            pieces = pa.StringArray.from_buffers(len(starts), ends, pa.py_buffer(np.ascontiguousarray(data)))
-            yield a, b, np.searchsorted(starts, at), pieces.dictionary_encode()
-
-    def distinct(self) -> pa.Array:
-        words = [p.dictionary for *_, p in self.parts() if p is not None]
-        return pa.concat_arrays(words).unique() if words else pa.array([], pa.string())
-
-
-BLOCKS = "block long, doc_ids array<long>, sizes array<long>, text binary, pieces array<string>"
+def encode_words(words: DataFrame, path: str, column: str = "word") -> DataFrame:
+    """The table with ids (array<int>) of each word, which is taken as one piece; no Python runs. Time grows with the square of a word's length."""
+    word = F.coalesce(F.col(f"`{column}`"), F.lit(""))
+    return words.withColumn("ids", F.when(word == "", F.array().cast("array<int>")).otherwise(folded_ids(word, path)))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text) in blocks of about BLOCK_BYTES, with their distinct pieces; see BLOCKS."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 24
-
-        def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            ids = pa.concat_arrays([b.column(0) for b in held])
-            data, offsets = string_buffers(pa.chunked_array([b.column(1) for b in held]))
-            row = [[number], [ids.to_pylist()], [np.diff(offsets)], [zstandard.ZstdCompressor(level=3).compress(data.tobytes())], [Block(data, offsets).distinct().to_pylist()]]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], [f.split()[0] for f in BLOCKS.split(", ")])
-
-        held, size = [], 0
-        for b in batches:
-            step = max(1, int(b.num_rows * BLOCK_BYTES / max(1, b.nbytes)))
-            for lo in range(0, b.num_rows, step):
-                held.append(b.slice(lo, step))
-                size += held[-1].nbytes
-                if size >= BLOCK_BYTES:
-                    yield made(held)
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield made(held)
-
-    return only(docs, "doc_id", "text").mapInArrow(tidy(run), BLOCKS)
-
-
-def dictionaries(made: DataFrame, path: str) -> DataFrame:
-    """(block, places, ids): of every block's pieces up to FOLD_BYTES the place in its list and the ids; each piece is folded once for ASKERS blocks."""
-    salts = -(-made.count() // ASKERS)
-    asked = made.select("block", F.posexplode("pieces").alias("place", "piece")).filter(F.octet_length("piece") <= FOLD_BYTES)
-    of_piece = asked.groupBy("piece", F.pmod(F.xxhash64("block"), F.lit(max(1, salts))).alias("salt")).agg(F.collect_list(F.struct("block", "place")).alias("to"))
-    told = of_piece.select("to", F.explode(F.array(folded_ids(F.col("piece"), path))).alias("ids")).select(F.explode("to").alias("t"), "ids")
-    return told.groupBy("t.block").agg(F.collect_list("t.place").alias("places"), F.collect_list("ids").alias("ids"))
-
-
-def in_blocks(docs: DataFrame, path: str, row_of: Callable[[BytePairCodec, np.ndarray], tuple], schema: str) -> DataFrame:
-    """A row a document: doc_id and what row_of makes of its ids, by `schema` (doc_id first)."""
-    made = keep(blocks(docs), "bpe-blocks")
-    words = dictionaries(made, path)
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[f.split()[1]] for f in schema.split(", ")]
+def encode_table(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids array<int>) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         c = codec(path)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                b = batch.slice(k, 1)
-                pieces, places, ids = (b.column(n)[0].values for n in ("pieces", "places", "ids"))
-                sizes, begins = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-                flat = np.zeros(0, np.uint32)
-                if places is not None and len(places):
-                    at, flat = places.to_numpy(), ids.flatten().to_numpy().astype(np.uint32)
-                    sizes[at] = pc.list_value_length(ids).to_numpy()
-                    begins[at] = np.cumsum(sizes[at]) - sizes[at]
-                long_ = np.flatnonzero(sizes == 0)
-                if len(long_):
-                    more, n = c.encode_pieces(pieces.take(pa.array(long_)).to_pylist())
-                    sizes[long_], begins[long_] = n, len(flat) + np.cumsum(n) - n
-                    flat = np.concatenate([flat, more])
-                doc_ids, n_bytes = b.column("doc_ids")[0].values, b.column("sizes")[0].values.to_numpy()
-                raw = zstandard.ZstdDecompressor().decompress(b.column("text")[0].as_py()) if n_bytes.sum() else b""
-                block = Block(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(n_bytes)]).astype(np.int64))
-                for lo, hi, first, coded in block.parts():
-                    codes = pc.index_in(coded.dictionary, value_set=pieces).to_numpy()[coded.indices.to_numpy()] if coded is not None else np.zeros(0, np.int64)
-                    got, total = flat[spread(codes, sizes, begins)], np.concatenate([[0], np.cumsum(sizes[codes])])
-                    rows = []
-                    for t in range(lo, hi):
-                        x = got[total[first[t - lo]] : total[first[t - lo + 1]]]
-                        if block.odd[t]:
-                            x = np.asarray(c.encode_text(raw[block.offsets[t] : block.offsets[t + 1]].decode()), np.uint32)
-                        rows.append(row_of(c, x))
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), *(pa.array([r[j] for r in rows], kinds[j + 1]) for j in range(len(kinds) - 1))], names)
-
-    rows = made.join(words, "block", "left").select("doc_ids", "sizes", "text", "pieces", "places", "ids")
-    return rows.mapInArrow(tidy(run), schema)
+        for b in batches:
+            ids, first = c.encoder.encode(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-
-def encode_table(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text."""
-    return in_blocks(docs, path, lambda c, x: (x.astype(np.int32),), "doc_id long, ids array<int>")
+    return only(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_table(rows: DataFrame, path: str) -> DataFrame:
@@ -341,8 +235,20 @@ def decode_table(rows: DataFrame, path: str) -> DataFrame:
 
 def round_trips(docs: DataFrame, path: str) -> DataFrame:
     """Per document: number and hash of its ids, and the hash of what they decode to."""
-    of = lambda c, x: (len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(x)).hexdigest())
-    return in_blocks(docs, path, of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in batches:
+            ids, first = c.encoder.encode(b.column(1))
+            cols: tuple[list, ...] = ([], [], [])
+            for lo, hi in zip(first[:-1], first[1:]):
+                x = ids[lo:hi]
+                cols[0].append(int(hi - lo))
+                cols[1].append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
+                cols[2].append(hashlib.sha256(c.decode(x)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return only(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

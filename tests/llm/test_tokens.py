@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from quarry.llm.bpe import codec, decode_table, encode_table, fold_merges, load_ranks, round_trips
+from quarry.llm.bpe import codec, decode_table, encode_table, encode_words, fold_merges, load_ranks, round_trips
 from quarry.llm.packing import pack, packed, powers_of_two
 from quarry.llm.storage import new_path
 from quarry.llm.wavelet import WaveletMatrix, read_shards, write_shards
@@ -59,6 +59,13 @@ def test_long_folds_agree(tik):
             assert fold_merges(p.encode(), ranks) == tik.encode_ordinary(p)
 
 
+def test_words_fold_in_column_expressions(spark, tik):
+    words = [" the", "tokenization", "ünïcödé", "中文", "a", "", None, " " * 9, "qzxqzxqzx", "don't", "😀", "x" * 40] + [w for w in "Etouonchai que enmentré rementê retitioning theonred".split()]
+    df = spark.createDataFrame([(w, "k") for w in words], "word string, ids string")
+    got = {r.word: r.ids for r in encode_words(df, RANKS).collect()}
+    assert all(got[w] == (fold_merges(w.encode(), codec(RANKS).ranks) if w else []) for w in words) and len(got) == len(words)
+
+
 def test_wavelet_queries():
     x = np.array([5, 1, 5, 5, 9, 1, 70000, 5] * 300, np.uint32)
     w = WaveletMatrix.from_bytes(WaveletMatrix.build(x).to_bytes())
