@@ -17,7 +17,7 @@ import pyarrow as pa
 from quarry.llm.kernels import spread, split_pieces, string_buffers, text_chunks
 
 #: Distinct pieces a worker remembers, the first it meets; all others are encoded once a chunk. It changes no result.
-MEMO_PIECES = 1 << 16
+MEMO_PIECES = 1 << 18
 #: Longest piece that is remembered, in bytes.
 MEMO_BYTES = 64
 #: Bytes of text cut into pieces at once.
