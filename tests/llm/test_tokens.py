@@ -155,3 +155,51 @@ def test_pack_takes_the_cheapest_sequence_with_room():
                 s.append((d, start, take))
                 start, n = start + take, n - take
         assert seqs == want + open_ and rest == left
+
+
+def test_pieces_are_remembered_without_objects(library):
+    """More pieces than the former memory held are encoded once, in less memory than its strings alone took; ids are the library's, also where memory is full."""
+    import pyarrow as pa
+
+    from quarry.llm.pieces import PieceEncoder, library_encoder
+
+    enc, made = library_encoder(JSON, 300_000), []
+    counted = PieceEncoder(lambda new: (made.append(len(new)), enc.encode_pieces(new))[1], enc.encode_text, remember=300_000)
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdeé中") for _ in range(rnd.randint(7, 9))) for _ in range(280_000)]
+    texts = pa.array([" ".join(words[k : k + 700]) for k in range(0, len(words), 700)])
+    first = counted.encode(texts)
+    once = sum(made)
+    again = counted.encode(texts)
+    memory = counted.memory
+    long = sum(len((" " + w).encode()) > 15 for w in words)
+    assert once > 262_144 and sum(made) - once <= max(0, long - 65_536) * 2
+    assert all((a == b).all() for a, b in zip(first, again))
+    assert sum(x.nbytes for x in (memory.slots, memory.low, memory.high, memory.begins, memory.sizes)) < 56 * memory.known
+    assert first[0][: first[1][1]].tolist() == library(texts[0].as_py())
+    tiny = library_encoder(JSON, 5)
+    odd = pa.array(["a a\0 a\0\0 \0", "exactly15bytes! exactly15bytes ", "sixteen-bytes-up", None, "é" * 8 + " " + "é" * 7, "x" * 70 + " " + "x" * 70, "one two three four five six seven"] * 3)
+    for e in (tiny, enc):
+        for _ in range(2):
+            ids, at = e.encode(odd)
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library(t) for t in odd.to_pylist()]
+    assert tiny.memory.known == 5
+
+
+def test_bytes_without_ids(tmp_path):
+    """A vocabulary that lacks bytes drops them; the rest of a piece's ids stay the piece's."""
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from quarry.llm.pieces import library_encoder
+
+    spec = json.load(open(JSON))
+    spec["model"]["vocab"] = {k: v for v, k in enumerate(["a", "b", "Ġ"])}
+    spec["model"]["merges"], spec["added_tokens"] = [], []
+    path = str(tmp_path / "few.json")
+    json.dump(spec, open(path, "w"))
+    tok, texts = Tokenizer.from_file(path), ["ab zz ba", "zzz", "a", "z b z"]
+    ids, at = library_encoder(path).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tok.encode(t).ids for t in texts]
