@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import neardup, packing, pii, quality, toxicity
 from quarry.llm.storage import keep
+from quarry.llm.workers import small_batches
 
 SHINGLE, PERCENT = 5, 80
+#: Pieces that a packing worker remembers: fewer than alone, as executors hold what all stages have left.
+PIECES = 1 << 17
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.accepted(docs, model)
 
@@ -26,6 +30,7 @@ def without_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return neardup.deduplicated(docs, SHINGLE, PERCENT)
 
 
@@ -36,7 +41,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    small_batches(spark)
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=PIECES)
 
 
 STAGES = [

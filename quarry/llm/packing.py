@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.pieces import PIECE_CHUNK, library_encoder
+from quarry.llm.pieces import MEMO_PIECES, PIECE_CHUNK, library_encoder
 from quarry.llm.storage import documents, only
 from quarry.llm.workers import tidy
 
@@ -145,13 +145,13 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, in
     return out
 
 
-def packed(docs: DataFrame, path: str, most: int = 2048, end_id: int = 1, pool_tokens: int = POOL_TOKENS) -> DataFrame:
-    """Pieces of all documents (doc_id, text): see SCHEMA. Sequence ids hold the task's number in their upper half."""
+def packed(docs: DataFrame, path: str, most: int = 2048, end_id: int = 1, pool_tokens: int = POOL_TOKENS, remember: int = MEMO_PIECES) -> DataFrame:
+    """Pieces of all documents (doc_id, text): see SCHEMA. A worker remembers the ids of so many words. Sequence ids hold the task's number in their upper half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = library_encoder(path)
+        enc = library_encoder(path, remember)
         base = TaskContext.get().partitionId() << 32
         # (doc_id, ids, first of them, ids of the whole document)
         held: list[tuple[int | None, np.ndarray, int, int]] = []

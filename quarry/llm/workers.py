@@ -8,10 +8,22 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 Batches = Iterator[pa.RecordBatch]
 
 
+#: Rows that are sent to a worker at once where memory is short. A batch is held by the JVM and by the worker, several times over while it grows.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in a batch to BATCH_ROWS, unless it has fewer; no result depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def give_back() -> None:
     """Returns memory that the worker has freed to the system, which the allocators would hold on to."""
     gc.collect()

@@ -97,3 +97,17 @@ def test_pipeline_end_to_end(spark, tmp_path):
         assert sum(n for _, n, _ in pieces) == len(ids) and all(zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[a : a + n])) == c for a, n, c in pieces)
     empty = saved(spark, tmp_path / "b", [], [])
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_stages_send_small_batches(spark):
+    """A batch of the default 10,000 rows would be held several times over beside what the stages have left."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame(rows_of(), COLUMNS)
+    before = spark.conf.get(name)
+    try:
+        for rows, want in (("10000", "500"), ("0", "500"), ("100", "100")):
+            spark.conf.set(name, rows)
+            corpus_pipeline.in_sequences(spark, docs, "")
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
