@@ -2,39 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quarry.functions import code
+from quarry.operators import tables
 
 #: Why a symbol counts as dead.
 REASONS = ("no callers found (exported - verify if public API)", "no callers found", "only called by dead code", "unreachable")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder the cluster shares; a temporary one serves only where all runs in one process, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
-
-
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node) reachable over edges (src, dst) from roots (node), roots included: a frontier at a time, cycles welcome.
 
     Edges are made distinct once and kept; each round writes its frontier only,
     and what is seen is the union of the frontiers. Null nodes are passed over.
     """
-    edges = _kept(edges.filter("src <> dst").select("src", "dst").distinct())
-    frontier = _kept(roots.filter("node is not null").select("node").distinct())
+    edges = tables.kept(edges.filter("src <> dst").select("src", "dst").distinct())
+    frontier = tables.kept(roots.filter("node is not null").select("node").distinct())
     seen = frontier
     while True:
         step = edges.join(frontier, edges.src == frontier.node, "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = _kept(step.join(seen, "node", "left_anti"))
+        frontier = tables.kept(step.join(seen, "node", "left_anti"))
         if not frontier.limit(1).count():
             return seen
         seen = seen.union(frontier)

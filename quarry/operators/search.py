@@ -14,16 +14,17 @@ that cannot be parsed raises QueryError, and `search` then ranks by vectors alon
 from __future__ import annotations
 
 import dataclasses
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from quarry.functions.stemming import LOOSE_END, stem
-from quarry.operators import filters, retrieval
+from quarry.operators import filters, retrieval, tables
 
 #: Signs that a query may hold without meaning: they part words.
 BLANKS = "*():-^~"
@@ -117,9 +118,9 @@ def _terms(tree: Term | Op) -> list[Term]:
     return [tree] if isinstance(tree, Term) else _terms(tree.left) + _terms(tree.right)
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(ArrayType(StringType()))
 def _stems(words: pd.Series) -> pd.Series:
-    return words.map(stem)
+    return words.map(lambda ws: [stem(w) for w in ws])
 
 
 def text_search(table: DataFrame, query: str, k: int, id_col: str = "id", columns: tuple[str, ...] = ("content",), where: Column | None = None) -> DataFrame:
@@ -134,19 +135,18 @@ def text_search(table: DataFrame, query: str, k: int, id_col: str = "id", column
     text = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
     passes = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     rows = table.select(F.col(id_col).alias("id"), passes.alias("passes"), folded(text).alias("ws"))
-    near = filters.some(*(F.col("w").startswith(b) for b in begins))
-    found = rows.select("id", "passes", F.size("ws").alias("n"), F.posexplode("ws").alias("at", "w")).filter(near).withColumn("w", _stems("w")).filter(F.col("w").isin(*stems))
-    places = [F.sort_array(F.collect_list(F.when(F.col("w") == s, F.col("at")))).alias(f"p{i}") for i, s in enumerate(stems)]
-    hits = found.groupBy("id", "passes", "n").agg(*places)
+    # words stay in their text's row: an exploded word would carry all words of its text to Python and into its queue on disk
+    near = lambda x: filters.some(*(x["w"].startswith(b) for b in begins))
+    rows = rows.select("id", "passes", F.size("ws").alias("n"), F.filter(F.transform("ws", lambda w, at: F.struct(at.alias("at"), w.alias("w"))), near).alias("near"))
+    marks = rows.select("id", "passes", "n", F.arrays_zip(F.col("near.at").alias("at"), _stems(F.col("near.w")).alias("s")).alias("marks"))
+    at = lambda s, shift=0: F.transform(F.filter("marks", lambda x: x["s"] == s), lambda x: x["at"] - shift)
 
     def times(term: Term) -> Column:
-        first, *rest = (f"p{stems.index(s)}" for s in term.stems)
-        whole = lambda at: filters.every(*(F.array_contains(F.col(p), at + k) for k, p in enumerate(rest, 1)))
-        return F.size(F.filter(F.col(first), whole)) if rest else F.size(first)
+        return F.size(functools.reduce(F.array_intersect, (at(s, k) for k, s in enumerate(term.stems))))
 
-    hits = hits.select("id", "passes", "n", *(times(t).alias(f"f{i}") for i, t in enumerate(terms)))
-    sizes = rows.agg(F.count("*").alias("docs"), F.avg(F.size("ws")).alias("avg_n")).first()
-    dfs = hits.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
+    # texts are read once: what is kept is a row of numbers for each
+    hits = tables.kept(marks.select("id", "passes", "n", *(times(t).alias(f"f{i}") for i, t in enumerate(terms))))
+    stats = hits.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
 
     def holds(t: Term | Op) -> Column:
         if isinstance(t, Term):
@@ -156,9 +156,9 @@ def text_search(table: DataFrame, query: str, k: int, id_col: str = "id", column
 
     score = F.lit(0.0)
     for i, t in enumerate(terms):
-        n, f = dfs[f"d{i}"] or 0, F.col(f"f{i}").cast("double")
-        idf = F.greatest(F.log((F.lit(float(sizes["docs"])) - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score = score + idf * f * (retrieval.K1 + 1) / (f + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("n") / F.lit(float(sizes["avg_n"] or 1.0))))
+        n, f = stats[f"d{i}"] or 0, F.col(f"f{i}").cast("double")
+        idf = F.greatest(F.log((F.lit(float(stats["docs"])) - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+        score = score + idf * f * (retrieval.K1 + 1) / (f + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("n") / F.lit(float(stats["avg_n"] or 1.0))))
     return hits.filter(F.col("passes") & holds(tree)).select("id", score.alias("bm25")).orderBy(F.desc("bm25"), "id").limit(k)
 
 

@@ -98,3 +98,20 @@ def test_fuzzy_files_and_names(spark):
     got = {r.path: r.score for r in search.fuzzy_files(f, "Search", None).collect()}
     assert {k: got[k] for k in ("src/search.go", "lib/research.py", "search/x.go")} == {"src/search.go": 0.9, "lib/research.py": 0.7, "search/x.go": 0.5}
     assert "zzz" not in got and 0.2 < got["srch.go"] <= 0.4
+
+
+def test_words_that_go_to_python_come_without_their_text(spark, monkeypatch):
+    """What Python is sent waits in a queue that goes to disk: all words of a text there, once for each word that is looked for, filled it."""
+    plans, kept = [], search.tables.kept
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(search.tables, "kept", seen)
+    rows = spark.createDataFrame([("a", "go go go licensing"), ("b", "gone"), ("c", "licensed going go"), ("d", None)], "id string, content string")
+    found = search.text_search(rows, '"go go" OR license', 10)
+    assert [r.id for r in found.collect()] == ["a", "c"]
+    (sent,) = (line for line in plans[0].splitlines() if "ArrowEvalPython" in line)
+    assert "ws#" not in sent and "content#" not in sent and "Generate" not in plans[0]
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()  # texts aren't read again
