@@ -115,3 +115,18 @@ def test_words_that_go_to_python_come_without_their_text(spark, monkeypatch):
     (sent,) = (line for line in plans[0].splitlines() if "ArrowEvalPython" in line)
     assert "ws#" not in sent and "content#" not in sent and "Generate" not in plans[0]
     assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()  # texts aren't read again
+
+
+def test_hunks_meet_chunks_once_and_no_pair_is_shuffled(spark):
+    """Also where a change has several hunks in a file, and an id stands for several ranges or is null."""
+    lines = [(f"c{k % 7}", f"f{k % 2}", k * 37 % 300, k % 90) for k in range(60)] + [(None, "f0", 5, 1), ("c1", None, 5, 1), ("c2", "f1", None, 1)]
+    ranges = [(f"k{k % 40}" if k % 13 else None, f"f{k % 3}", k * 11 % 310, k * 11 % 310 + k % 150) for k in range(90)]
+    hunks = spark.createDataFrame(lines + lines[:9], "change_id string, file_path string, new_start long, new_lines long")
+    chunks = spark.createDataFrame(ranges, "id string, file_path string, start_line long, end_line long")
+    want = {(c, i) for c, f, s, n in lines for i, g, a, b in ranges if f is not None and f == g and s is not None and s <= b and s + n >= a}
+    got = search.overlapping(hunks, chunks).collect()
+    assert {(r.change_id, r.chunk_id) for r in got} == want and len(got) == len(want)
+    single = spark.createDataFrame([(f"k{k}", "f0", 1, 9) for k in range(3)], chunks.schema)
+    plan = search.overlapping(hunks, single)._jdf.queryExecution().optimizedPlan().toString()
+    head = plan[: plan.index("Aggregate")].splitlines()
+    assert head[0].startswith("Union") and any("Generate explode(ids" in x for x in head)  # pairs are listed after all grouping
