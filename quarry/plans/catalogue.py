@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.code import decision_points, matches_glob, rating
-from quarry.operators import chunking, code, graph, merge, records, retrieval
+from quarry.operators import chunking, code, graph, merge, records, retrieval, tables
 from quarry.sources import history
 from quarry.sources.files import spread
 from quarry.streaming.debounce import debounced
@@ -20,8 +20,8 @@ WORDS = r"regexp_extract_all(lower(text), '[\pL\pN]+')"
 def query(sql: str | None):
     def add(f):
         def read(spark, sf_dir):
-            tables = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-            return lambda t: spread(tables(t)) if t in TEXTS else tables(t)
+            whole = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            return lambda t: spread(whole(t)) if t in TEXTS else whole(t)
 
         QUERIES[f.__name__] = lambda spark, sf_dir: f(read(spark, sf_dir))
         if sql:
@@ -162,8 +162,11 @@ def history_search(t) -> DataFrame:
 
 @query("SELECT a.l_orderkey, a.l_partkey AS part, b.l_partkey AS related, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY ALL")
 def related_changes(t) -> DataFrame:
-    a = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("part"))
-    return a.join(a.withColumnRenamed("part", "related"), "l_orderkey").filter("part <> related").groupBy("l_orderkey", "part", "related").agg(F.count("*").alias("n"))
+    a = t("lineitem").filter("l_orderkey is not null and l_partkey is not null").select("l_orderkey", F.col("l_partkey").alias("part"))
+    # one shuffle by order serves the counts and the join; pairs come out whole, so they are neither shuffled nor grouped
+    a = a.repartition(tables.parts(a), "l_orderkey").groupBy("l_orderkey", "part").agg(F.count("*").alias("k"))
+    b = a.select("l_orderkey", F.col("part").alias("related"), F.col("k").alias("m"))
+    return a.join(b.hint("merge"), "l_orderkey").filter("part <> related").select("l_orderkey", "part", "related", (F.col("k") * F.col("m")).alias("n"))
 
 
 @query("SELECT s.l_orderkey, s.l_linenumber, p.p_partkey, count(*) AS n FROM lineitem s JOIN part p ON s.l_partkey = p.p_partkey AND s.l_quantity <= p.p_size AND s.l_quantity + 5 >= p.p_size - 10 GROUP BY ALL")

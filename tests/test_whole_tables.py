@@ -31,3 +31,18 @@ def test_graph_of_all_lines_and_parts(spark, tmp_path):
     assert live == {1, 703, 1401}
     assert sorted(r.node for r in catalogue.QUERIES["reachability"](spark, at).collect()) == sorted(live)
     assert {r.doc_id: r.points for r in catalogue.QUERIES["decision_counts"](spark, at).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_related_changes_are_not_shuffled_as_pairs(spark, tmp_path):
+    lines = [(o, p) for o in (1, 2, None) for p in (5, 5, 6, 7, None)]
+    at = saved(tmp_path, lineitem=spark.createDataFrame(lines, "l_orderkey long, l_partkey long"))
+    df = catalogue.QUERIES["related_changes"](spark, at)
+    assert {(r.l_orderkey, r.part, r.related, r.n) for r in df.collect() if r.l_orderkey == 1} == {(1, 5, 6, 2), (1, 6, 5, 2), (1, 5, 7, 2), (1, 7, 5, 2), (1, 6, 7, 1), (1, 7, 6, 1)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_histories_and_memories_are_ranked_in_many_tasks(spark):
+    for name in ("history_ranked", "memory_search"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert str(1 << 30) not in plan, name
