@@ -317,7 +317,7 @@ def averaged(near: DataFrame, text: DataFrame) -> DataFrame:
     return both.select("id", F.when(F.col("score").isNotNull() & F.col("b").isNotNull(), (F.col("score") + F.col("b")) / 2).otherwise(F.coalesce("score", "b")).alias("vector_score"))
 
 
-def recall(memories: DataFrame, candidates: DataFrame, now: Column, limit: int, weights: tuple[float, float, float, float] = (0.5, 0.2, 0.2, 0.1)) -> DataFrame:
+def recall(memories: DataFrame, candidates: DataFrame, now: Column, limit: int | None, weights: tuple[float, float, float, float] = (0.5, 0.2, 0.2, 0.1)) -> DataFrame:
     """Memories among candidates (id, vector_score) by a weighted sum of likeness, recency of access, importance times confidence, and accesses.
 
     Recency decays as exp(-hours / (720 ln 2)) (Q08). What is returned isn't
@@ -326,7 +326,8 @@ def recall(memories: DataFrame, candidates: DataFrame, now: Column, limit: int,
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.coalesce("accessed_at", "created_at").cast("timestamp"))) / 3.6e9
     parts = (F.col("vector_score"), retrieval.recency(age), F.col("importance") * F.col("confidence"), F.least(F.lit(1.0), F.log10(F.greatest(F.coalesce("access_count", F.lit(0)), F.lit(0)) + 1) / 3))
     score = sum((w * p for w, p in zip(weights, parts)), F.lit(0.0))
-    return memories.join(candidates, "id").withColumn("score", score).orderBy(F.desc("score"), "id").limit(limit)
+    rows = memories.join(candidates, "id").withColumn("score", score).orderBy(F.desc("score"), "id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def ranked_todos(todos: DataFrame, now: Column, limit: int, candidates: DataFrame | None = None) -> DataFrame:
@@ -338,7 +339,7 @@ def ranked_todos(todos: DataFrame, now: Column, limit: int, candidates: DataFram
     return rows.withColumn("score", F.col("score") + bonus + due).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def history_hits(changes: DataFrame, message_hits: DataFrame, diff_hits: DataFrame, now: Column, limit: int, half_life_factor: float = 1.0) -> DataFrame:
+def history_hits(changes: DataFrame, message_hits: DataFrame, diff_hits: DataFrame, now: Column, limit: int | None, half_life_factor: float = 1.0) -> DataFrame:
     """Changes (id, commit_hash, date and more, already filtered) of commits in message_hits (hash) or themselves in diff_hits (id).
 
     A message hit counts 0.4, a diff hit 0.4 (Q11), recency 0.2, decaying over 30 /
@@ -350,7 +351,8 @@ def history_hits(changes: DataFrame, message_hits: DataFrame, diff_hits: DataFra
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("date").cast("timestamp"))) / 3.6e9
     part = lambda c: F.coalesce(c, F.lit(0.0))
     score = 0.4 * part("message_score") + 0.4 * part("diff_score") + 0.2 * retrieval.recency(age, 30.0 / half_life_factor)
-    return rows.select(*changes.columns, score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    rows = rows.select(*changes.columns, score.alias("score")).orderBy(F.desc("score"), "id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def fuzzy_files(files: DataFrame, query: str, limit: int | None = 20) -> DataFrame:

@@ -96,7 +96,7 @@ def history_filter(t) -> DataFrame:
 def history_ranked(t) -> DataFrame:
     commits, changes = made(t, "commits"), made(t, "changes")
     rows = changes.join(commits.select(F.col("hash").alias("commit_hash"), "date"), "commit_hash")
-    hits = search.history_hits(rows, commits.filter(F.col("message").contains("urgent")), changes.filter("change_type = 'D'"), now(), 1 << 30, 0.5)
+    hits = search.history_hits(rows, commits.filter(F.col("message").contains("urgent")), changes.filter("change_type = 'D'"), now(), None, 0.5)
     return hits.select("id", r6("score").alias("score")).orderBy(F.desc("score"), "id").limit(50)
 
 
@@ -119,7 +119,7 @@ def file_history(t) -> DataFrame:
 def memory_search(t) -> DataFrame:
     rows = made(t, "memories")
     hits = rows.filter("category = 'error'").select("id", F.lit(0.25).alias("vector_score"))
-    return search.recall(rows, hits, now(EVENT_NOW), 1 << 30).select("id", r6("score").alias("score"))
+    return search.recall(rows, hits, now(EVENT_NOW), None).select("id", r6("score").alias("score"))
 
 
 @query("WITH v AS (SELECT vec_id AS id, 0.5 AS score FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id AS id, label + 1.0 AS bm25 FROM embeddings WHERE vec_id % 3 = 0) SELECT id, round(CASE WHEN score IS NOT NULL AND bm25 IS NOT NULL THEN (score + bm25 / (1 + bm25)) / 2 ELSE coalesce(score, bm25 / (1 + bm25)) END, 6)::DOUBLE AS vector_score FROM v FULL JOIN b USING (id)")
