@@ -10,6 +10,9 @@ from quarry.operators import tables
 #: Why a symbol counts as dead.
 REASONS = ("no callers found (exported - verify if public API)", "no callers found", "only called by dead code", "unreachable")
 
+#: Nodes of a frontier up to which all executors get it whole: a few MB.
+SMALL = 20_000
+
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node) reachable over edges (src, dst) from roots (node), roots included: a frontier at a time, cycles welcome.
@@ -17,13 +20,20 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     Edges are made distinct once and kept; each round writes its frontier only,
     and what is seen is the union of the frontiers. Null nodes are passed over.
     """
-    edges = tables.kept(edges.filter("src <> dst").select("src", "dst").distinct())
+    return _reached(tables.kept(edges.filter("src <> dst").select("src", "dst").distinct()), roots)
+
+
+def _reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """reachable over edges that are kept already."""
     frontier = tables.kept(roots.filter("node is not null").select("node").distinct())
-    seen = frontier
+    seen, n = frontier, frontier.count()
     while True:
-        step = edges.join(frontier, edges.src == frontier.node, "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = tables.kept(step.join(seen, "node", "left_anti"))
-        if not frontier.limit(1).count():
+        # only a small frontier goes to all executors; what is seen never does
+        near = F.broadcast(frontier) if n <= SMALL else frontier.hint("merge")
+        step = edges.join(near, edges.src == frontier.node, "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = tables.kept(step.join(seen.hint("merge"), "node", "left_anti"))
+        n = frontier.count()
+        if not n:
             return seen
         seen = seen.union(frontier)
 
@@ -46,8 +56,15 @@ def call_graph(symbols: DataFrame, refs: DataFrame, internal_only: bool = False)
         refs = refs.filter(~F.col("is_external"))
     folder = lambda path: F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
     names = symbols.select(F.col("id").alias("symbol_id"), "name", folder(F.col("path")).alias("dir"))
-    end = lambda column, out: resolve(refs.select(F.col("id").alias("ref_id"), F.substring_index(column, ".", -1).alias("__short"), F.col(column).alias("target"), folder(F.col("file_path")).alias("dir")), names, "__short").withColumnRenamed("symbol_id", out)
-    return end("from_symbol", "src").join(end("to_symbol", "dst"), "ref_id").filter("src <> dst").select("src", "dst").distinct()
+    # no folder holds a line break, so one stands for the null folder, which no symbol is near
+    rows = refs.select("from_symbol", "to_symbol", F.coalesce(folder(F.col("file_path")), F.lit("\n")).alias("dir")).distinct()
+    # each name of a folder is resolved once, however many references name it
+    ends = rows.select("dir", F.explode(F.array("from_symbol", "to_symbol")).alias("target")).filter("target is not null").distinct()
+    ends = ends.select(F.struct("target", "dir").alias("ref_id"), F.substring_index("target", ".", -1).alias("__short"), "target", "dir")
+    found = resolve(ends, names, "__short").select("ref_id.target", "ref_id.dir", "symbol_id")
+    end = lambda column, out: found.select(F.col("target").alias(column), "dir", F.col("symbol_id").alias(out)).hint("merge")
+    rows = rows.join(end("from_symbol", "src"), ["from_symbol", "dir"]).join(end("to_symbol", "dst"), ["to_symbol", "dir"])
+    return rows.filter("src <> dst").select("src", "dst").distinct()
 
 
 def dead_code(symbols: DataFrame, edges: DataFrame, least: float = 0.5) -> DataFrame:
@@ -55,11 +72,12 @@ def dead_code(symbols: DataFrame, edges: DataFrame, least: float = 0.5) -> DataF
 
     All are judged before any limit is taken (Q16).
     """
-    live = reachable(edges, symbols.filter(code.is_root(F.col("name"), F.col("language"), F.col("path"))).select(F.col("id").alias("node")))
-    marked = edges.join(live.select(F.col("node").alias("src"), F.lit(True).alias("__live")), "src", "left")
+    edges = tables.kept(edges)
+    live = _reached(edges, symbols.filter(code.is_root(F.col("name"), F.col("language"), F.col("path"))).select(F.col("id").alias("node")))
+    marked = edges.join(live.select(F.col("node").alias("src"), F.lit(True).alias("__live")).hint("merge"), "src", "left")
     callers = marked.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"), F.count_if(F.col("__live").isNull()).alias("dead_callers"))
-    rows = symbols.join(live.select(F.col("node").alias("id")), "id", "left_anti").filter(~code.is_test(F.col("name"), F.col("language"), F.col("path")))
-    rows = rows.join(callers, "id", "left").withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in ("callers", "dead_callers")})
+    rows = symbols.join(live.select(F.col("node").alias("id")).hint("merge"), "id", "left_anti").filter(~code.is_test(F.col("name"), F.col("language"), F.col("path")))
+    rows = rows.join(callers.hint("merge"), "id", "left").withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in ("callers", "dead_callers")})
     exported = code.is_exported(F.col("name"), F.col("language"), F.col("visibility"))
     method = (F.col("kind") == "method") & code.serves_interfaces(F.col("language"))
     only_dead = (F.col("callers") > 0) & (F.col("callers") == F.col("dead_callers"))
@@ -81,7 +99,8 @@ def unused_types(dead: DataFrame, limit: int | None = None) -> DataFrame:
 def graph_stats(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: symbols, entry_points, reachable, dead, edges."""
     roots = symbols.filter(code.is_root(F.col("name"), F.col("language"), F.col("path"))).select(F.col("id").alias("node"))
-    live = reachable(edges, roots).join(symbols.select(F.col("id").alias("node")), "node", "left_semi").agg(F.count("*").alias("reachable"))
+    edges = tables.kept(edges)
+    live = _reached(edges, roots).join(symbols.select(F.col("id").alias("node")).hint("merge"), "node", "left_semi").agg(F.count("*").alias("reachable"))
     one = symbols.agg(F.count("*").alias("symbols")).join(F.broadcast(roots.agg(F.count("*").alias("entry_points")))).join(F.broadcast(live)).join(F.broadcast(edges.agg(F.count("*").alias("edges"))))  # one row each
     return one.select("symbols", "entry_points", "reachable", (F.col("symbols") - F.col("reachable")).alias("dead"), "edges")
 
@@ -123,7 +142,7 @@ def resolve(refs: DataFrame, symbols: DataFrame, name: str = "target") -> DataFr
     near = symbols.groupBy(F.col("name").alias(name), "dir").agg(first.alias("near"))
     far = symbols.groupBy(F.col("name").alias(name)).agg(first.alias("far"))
     exact = symbols.select(F.col("symbol_id").alias("target"), F.col("symbol_id").alias("exact")).distinct()
-    rows = refs.join(exact, "target", "left").join(near, [name, "dir"], "left").join(far, name, "left")
+    rows = refs.join(exact.hint("merge"), "target", "left").join(near.hint("merge"), [name, "dir"], "left").join(far.hint("merge"), name, "left")
     return rows.select("ref_id", F.coalesce("exact", "near", "far").alias("symbol_id")).filter("symbol_id is not null")
 
 
